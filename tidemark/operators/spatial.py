@@ -43,16 +43,8 @@ def great_circle_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> C
 
 
 def _spread(x: Column) -> Column:
-    """Bits of a 21-bit number, two zero bits between each."""
-    for shift, mask in (
-        (32, 0x1F00000000FFFF),
-        (16, 0x1F0000FF0000FF),
-        (8, 0x100F00F00F00F00F),
-        (4, 0x10C30C30C30C30C3),
-        (2, 0x1249249249249249),
-    ):
-        x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask))
-    return x
+    """Bits of a 21-bit number, two zero bits between each: its binary digits read as octal ones."""
+    return F.conv(F.bin(x), 8, 10).cast("long")
 
 
 def morton(ix: Column, iy: Column, iz: Column) -> Column:
