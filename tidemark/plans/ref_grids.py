@@ -21,10 +21,10 @@ def _long(s, d, *cols):
 
 def _good(long):
     """Values that enter means: finite and positive-definite spectra only."""
-    return long.where((F.col("psd") >= 0) & (F.col("psd") < 1e6))
+    return long.where((F.col("psd") >= 0) & (F.col("psd") < 10))
 
 
-GOOD = f"{LONG}, good as (select * from long where p >= 0 and p < 1e6)"
+GOOD = f"{LONG}, good as (select * from long where p >= 0 and p < 10)"
 
 
 def queries():
@@ -60,17 +60,17 @@ def queries():
         return finish(g.grid_finish(g.grid_accumulate(v, "latitude", "lon", "value", 5.0, keys=("var",)), 5.0), "var")
 
     def box_psd(s, d):
-        x = segments(s, d, "wavenumber", "psd").withColumn("psd", F.transform("psd", lambda v: F.when((v >= 0) & (v < 1e6), v)))
+        x = segments(s, d, "wavenumber", "psd").withColumn("psd", F.transform("psd", lambda v: F.when((v >= 0) & (v < 10), v)))
         b = g.box_mean_spectra(x, "lat_mean", "lon_mean", "wavenumber", ["psd"], box=2.0)
         return b.where("mean_psd is not null").select("ilat", "ilon", "lat_center", "lon_center", "n_segments", "ik", "k", clean0(F.col("mean_psd") * 1e4).alias("mean_psd_cm2"))
 
     def box_filtered(s, d):
-        x = segments(s, d, "wavenumber", "psd").withColumn("psd", F.transform("psd", lambda v: F.when((v >= 0) & (v < 1e6), v)))
+        x = segments(s, d, "wavenumber", "psd").withColumn("psd", F.transform("psd", lambda v: F.when((v >= 0) & (v < 10), v)))
         b = g.box_mean_spectra(x, "lat_mean", "lon_mean", "wavenumber", ["psd"], box=10.0, fraction=0.15)
         return b.where("mean_psd is not null").select("ilat", "ilon", "n_segments", clean0("sampling_fraction").alias("sampling_fraction"), "ik", clean0(F.col("mean_psd") * 1e4).alias("mean_psd_cm2"))
 
     def box_three(s, d):
-        split = F.transform("psd", lambda v: F.when((v >= 0) & (v < 1e6), v))
+        split = F.transform("psd", lambda v: F.when((v >= 0) & (v < 10), v))
         x = segments(s, d, "wavenumber", "psd").withColumn("total", split)
         x = x.withColumn("direct", F.transform("total", lambda v: v * 0.75)).withColumn("aliased", F.transform("total", lambda v: v * 0.25))
         b = g.box_mean_spectra(x, "lat_mean", "lon_mean", "wavenumber", ["direct", "aliased", "total"], box=20.0, min_count=5)
@@ -218,7 +218,7 @@ def _grid(step, drop=True, clip=False):
 def _boxes(b, where=""):
     return f"""{SEG}, bx as (select *, {_BOX.format(b=b)} from seg where lat_mean is not null and lon_mean is not null),
       cnt as (select ilat, ilon, count(*) n_segments from bx group by 1, 2 {where}),
-      lg as (select ilat, ilon, u.ik - 1 ik, wavenumber[u.ik] k, case when psd[u.ik] >= 0 and psd[u.ik] < 1e6 then psd[u.ik] end p from bx, unnest(range(1, 64)) u(ik) where psd is not null)"""
+      lg as (select ilat, ilon, u.ik - 1 ik, wavenumber[u.ik] k, case when psd[u.ik] >= 0 and psd[u.ik] < 10 then psd[u.ik] end p from bx, unnest(range(1, 64)) u(ik) where psd is not null)"""
 
 
 ORACLE = tie_free({
