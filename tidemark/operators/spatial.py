@@ -75,9 +75,9 @@ def _half_chord(km: Column) -> Column:
 
 
 def cover(discs: DataFrame, lat: Column, lon: Column, km: Column) -> DataFrame:
-    """One row per covering cell: level, lo, hi (codes lo <= code < hi), at most eight a disc."""
+    """One row per covering cell: level, lo, hi (codes lo <= code <= hi), at most eight a disc."""
     r = _half_chord(km)
-    level = F.greatest(F.lit(0), F.least(F.lit(_BITS), F.floor(-F.log2(2 * r)))).cast("int")
+    level = F.greatest(F.lit(1), F.least(F.lit(_BITS - 1), F.floor(-F.log2(2 * r)))).cast("int")
     x = discs.withColumn("_r", r).withColumn("_level", level)
     axes = _axes(lat, lon)
     for name, u in zip("xyz", axes):
@@ -88,7 +88,7 @@ def cover(discs: DataFrame, lat: Column, lon: Column, km: Column) -> DataFrame:
     return (
         x.withColumn("_code", code)
         .withColumn("lo", F.expr(f"shiftleft(_code, {shift})"))
-        .withColumn("hi", F.expr(f"shiftleft(_code + 1, {shift}) "))
+        .withColumn("hi", F.expr(f"shiftleft(_code, {shift}) | (shiftleft(1L, {shift}) - 1)"))
         .withColumnRenamed("_level", "level")
         .drop("_r", "_x", "_y", "_z", "_code")
     )
@@ -111,14 +111,14 @@ def near_pairs(points: DataFrame, km: float, id_col: str, lat_col: str, lon_col:
         .where(F.col("id").isNotNull() & F.col("g").isNotNull() & finite("lat", "lon") & (F.abs("lat") <= 90))
         .dropDuplicates(["id", "g", "lat", "lon"])
     )
-    level = max(0, min(_BITS, math.floor(-math.log2(2 * (math.sin(min(km / EARTH_KM, math.pi) / 2) + 1e-9)))))
+    level = max(1, min(_BITS - 1, math.floor(-math.log2(2 * (math.sin(min(km / EARTH_KM, math.pi) / 2) + 1e-9)))))
     left = cover(p, F.col("lat"), F.col("lon"), F.lit(float(km))).select(
         "g", F.col("id").alias("id1"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), "lo", "hi", _prefix("lo", level).alias("cell")
     )
     right = p.withColumn("code", cell_code(F.col("lat"), F.col("lon"))).withColumn("cell", _prefix("code", level))
     return (
         left.join(right, ["g", "cell"])
-        .where("id1 < id and code >= lo and code < hi")
+        .where("id1 < id and code >= lo and code <= hi")
         .withColumn("km", great_circle_km(F.col("lat1"), F.col("lon1"), F.col("lat"), F.col("lon")))
         .where(F.col("km") <= km)
         .select(F.col("g").alias("group"), F.col("id1").alias("id"), F.col("id").alias("other_id"), "km")
@@ -166,7 +166,7 @@ def within_regions(
     )
     return (
         placed.join(ranges, ["level", "cell"])
-        .where("code >= lo and code < hi")
+        .where("code >= lo and code <= hi")
         .withColumn("km", great_circle_km(F.col("rlat"), F.col("rlon"), F.col("lat"), F.col("lon")))
         .where("km <= rkm")
         .select("id", F.col("rid").alias("region_id"), "km")
