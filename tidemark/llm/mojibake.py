@@ -56,6 +56,8 @@ _SENTENCE = re.compile(r"(?<=[.!?\n])[ \t\r\n]+|\n|(?<=[。！？，、])")
 # A whole character of UTF-8 among bytes that stand one to a character.
 _UTF8_CHAR = re.compile("[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 _BEYOND = re.compile(r"[^\x00-\x7f]")
+# Latin beside Greek or Cyrillic within a word: no sane restoration brings it in.
+_MIXED = re.compile("[A-Za-z\xc0-\u024f][\u0370-\u052f]|[\u0370-\u052f][A-Za-z\xc0-\u024f]")
 _LOST = re.compile("[�\x80-\x9f]")
 
 
@@ -260,6 +262,8 @@ def _invert_once(models: Models, text: str) -> tuple[str, tuple[str, str]] | Non
             r = restore_parts(text, chain[0])
         if r is None or _LOST.search(r) and not _LOST.search(text) or models.strange(r, text):
             continue
+        if _MIXED.search(r) and not _MIXED.search(text):
+            continue
         gain = models.usual(r) - here
         if gain >= _margin(models, chain, text) and (best is None or gain > best[0]):
             best = (gain, r, chain)
