@@ -7,9 +7,9 @@ are fitted on texts that show no trace of damage:
   chain, which names the chains that may have made a piece of text;
 * counts of neighbouring characters of the undamaged texts, which say how usual a spelling is.
 
-For every word, and then every sentence, that holds characters beyond ASCII the classifier's best
-chains are inverted; an inversion counts only if it is strictly decodable all the way and its result
-is more usual than what stands there by a clear margin.  Inversions are repeated, so doubly garbled
+For every word that holds characters beyond ASCII the classifier's best chains are inverted, and
+the words of a sentence vote on a chain together; an inversion counts only if it is strictly
+decodable all the way and its result is more usual than what stands there by a clear margin.  Inversions are repeated, so doubly garbled
 text comes back too.  Replacement characters and C1 controls are damage that cannot be read as
 anything else; where no chain gives them back the text is reported without a restoration.
 
@@ -36,11 +36,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-TRAIN_DOCUMENTS = 4_000
+TRAIN_DOCUMENTS = 2_000
 PAIR_BUCKETS = 1 << 18
 CHAR_BUCKETS = 1 << 16
 BIGRAM_BUCKETS = 1 << 14
-TOP_CHAINS = 6
+TOP_CHAINS = 8
 WORD_CACHE = 200_000
 
 _SINGLE = ("cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1251", "cp1250", "koi8_r")
@@ -55,9 +55,11 @@ _SPACE = re.compile(r"[ \t\r\n]+")
 _SENTENCE = re.compile(r"(?<=[.!?\n])[ \t\r\n]+|\n|(?<=[。！？，、])")
 # A whole character of UTF-8 among bytes that stand one to a character.
 _UTF8_CHAR = re.compile("[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
-_BEYOND = re.compile(r"[^\x00-\x7f]")
-# Latin beside Greek or Cyrillic within a word: no sane restoration brings it in.
-_MIXED = re.compile("[A-Za-z\xc0-\u024f][\u0370-\u052f]|[\u0370-\u052f][A-Za-z\xc0-\u024f]")
+_KEEP_SPACE, _KEEP_SENTENCE = (re.compile(f"({p.pattern})") for p in (_SPACE, _SENTENCE))
+_AGAINST = 4.0
+# Latin beside Greek or Cyrillic, or around an ideograph, within a word: no sane restoration
+# brings that in.
+_MIXED = re.compile("[A-Za-z\xc0-\u024f][\u0370-\u052f]|[\u0370-\u052f][A-Za-z\xc0-\u024f]|[a-z][\u4e00-\u9fff]{1,4}[a-z]")
 _LOST = re.compile("[�\x80-\x9f]")
 
 
@@ -75,8 +77,11 @@ def _table(name: str) -> tuple[str, object]:
     return table, codecs.charmap_build(table)
 
 
+_EAST_ASIA = ("gbk", "euc_jp", "cp932")
+
+
 def _multibyte(name: str) -> bool:
-    return name in ("utf-8", "gbk", "euc_jp", "cp932")
+    return name == "utf-8" or name in _EAST_ASIA
 
 
 def _encode(text: str, name: str) -> bytes:
@@ -176,11 +181,12 @@ def _byte_bigrams(text: str) -> np.ndarray:
 def _count_clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     pair, char = np.zeros(PAIR_BUCKETS, np.int64), np.zeros(CHAR_BUCKETS, np.int64)
     for b in batches:
-        for t in b["text"]:
-            if t and not _LOST.search(t) and not _utf8_inside(t):
-                x = _points(" " + _SPACE.sub(" ", t) + " ")
-                np.add.at(pair, _pairs(x), 1)
-                np.add.at(char, x % CHAR_BUCKETS, 1)
+        texts = [" " + _SPACE.sub(" ", t) + " " for t in b["text"] if t and not _LOST.search(t) and not _utf8_inside(t)]
+        for i in range(0, len(texts), 500):
+            # texts end and begin with a space, so gluing them adds only pairs of spaces
+            x = _points("".join(texts[i : i + 500]))
+            pair += np.bincount(_pairs(x), minlength=PAIR_BUCKETS)
+            char += np.bincount(x % CHAR_BUCKETS, minlength=CHAR_BUCKETS)
     for kind, c in (("pair", pair), ("char", char)):
         at = np.flatnonzero(c)
         yield pd.DataFrame({"kind": kind, "bucket": at, "n": c[at]})
@@ -231,10 +237,10 @@ class Models:
         return float(np.log((self.pair[_pairs(x)] + weight * p) / (self.char[x[:-1] % CHAR_BUCKETS] + weight)).sum())
 
     def strange(self, text: str, beside: str = "") -> bool:
-        """Some character is no commoner than one in ten million; with ``beside``, one of up to two
-        bytes that is not in it, for longer ones are no chance."""
+        """Some character is no commoner than one in ten million; with ``beside``, one below the
+        scripts of East Asia and the pictographs that is not in it."""
         x = _points(text)
-        x = x[(x >= 128) & (x < 0x800)] if beside else x[x >= 128]
+        x = x[(x >= 128) & (x < 0x3000)] if beside else x[x >= 128]
         odd = x[self.char[x % CHAR_BUCKETS] <= self.char_total * 1e-7]
         return len(odd) > 0 and (not beside or any(chr(c) not in beside for c in odd))
 
@@ -253,9 +259,10 @@ def _margin(models: Models, chain: tuple[str, str], text: str) -> float:
     return 5.0 if models.strange(text) else 9.0
 
 
-def _invert_once(models: Models, text: str) -> tuple[str, tuple[str, str]] | None:
+def _inversions(models: Models, text: str) -> dict[tuple[str, str], tuple[float, str]]:
+    """What the likeliest chains make of a piece, with the gain each brings; sane results only."""
     here = models.usual(text)
-    best = None
+    out = {}
     for chain in models.chains(text):
         r = restore(text, chain)
         if r is None and chain[1] == "utf-8" and not _multibyte(chain[0]):
@@ -264,62 +271,106 @@ def _invert_once(models: Models, text: str) -> tuple[str, tuple[str, str]] | Non
             continue
         if _MIXED.search(r) and not _MIXED.search(text):
             continue
-        gain = models.usual(r) - here
-        if gain >= _margin(models, chain, text) and (best is None or gain > best[0]):
-            best = (gain, r, chain)
-    return best and (best[1], best[2])
+        out[chain] = (models.usual(r) - here, r)
+    return out
 
 
-def _repair_piece(models: Models, text: str) -> tuple[str, str]:
-    """Restored piece and its chain, '' where nothing was found."""
-    steps = []
-    for _ in range(4):
-        hit = None if text.isascii() else _invert_once(models, text)
-        if hit is None:
-            break
-        text, chain = hit
-        steps.append(f"{chain[1]}>{chain[0]}")
-    return text, ",".join(reversed(steps))
+def _name(chain: tuple[str, str]) -> str:
+    return f"{chain[1]}>{chain[0]}"
+
+
+class _Word:
+    """What is known of a word: what repairing it alone gives, and its inversions."""
+
+    __slots__ = ("fixed", "chain", "gain", "options", "strange")
+
+    def __init__(self, models: Models, word: str):
+        self.options = _inversions(models, word)
+        self.strange = models.strange(word)
+        text, options, steps, self.gain = word, self.options, [], 0.0
+        for _ in range(4):
+            good = [(g, c, r) for c, (g, r) in options.items() if g >= _margin(models, c, text)]
+            if not good:
+                break
+            # what reads as UTF-8 is not taken for a text of East Asia
+            good = [x for x in good if x[1][1] not in _EAST_ASIA] or good if any(x[1][1] == "utf-8" for x in good) else good
+            gain, chain, text = max(good, key=lambda x: x[0])
+            self.gain = self.gain or gain
+            steps.append(_name(chain))
+            options = {} if text.isascii() else _inversions(models, text)
+        self.fixed, self.chain = text, ",".join(reversed(steps))
 
 
 class Repairer:
+    """Repairs texts word by word, and by whole sentences where single words say too little.
+
+    The gain of a sentence is the sum of its words' gains, so a sentence costs look-ups of words
+    that are mostly known already.
+    """
+
     def __init__(self, models: Models):
         self.models = models
-        self.words: dict[str, tuple[str, str]] = {}
+        self.words: dict[str, _Word] = {}
 
-    def _word(self, w: str) -> tuple[str, str]:
+    def _word(self, w: str) -> _Word:
         hit = self.words.get(w)
         if hit is None:
             if len(self.words) >= WORD_CACHE:
                 self.words.clear()
-            hit = self.words[w] = _repair_piece(self.models, w)
+            hit = self.words[w] = _Word(self.models, w)
         return hit
 
     def repair(self, text: str) -> tuple[str, list[str]]:
         """The text with every piece restored that can be, and the chains that had made them."""
         chains: dict[str, int] = {}
         done = []
-        for sentence in re.split(f"({_SENTENCE.pattern})", text):
+        for sentence in _KEEP_SENTENCE.split(text):
             if sentence and not sentence.isascii():
-                fixed, chain = self._sentence(sentence)
-                for c in chain:
+                sentence, found = self._sentence(sentence)
+                for c in found:
                     chains[c] = chains.get(c, 0) + 1
-                sentence = fixed
             done.append(sentence)
         return "".join(done), sorted(chains, key=lambda c: (-chains[c], c))
 
     def _sentence(self, s: str) -> tuple[str, list[str]]:
-        whole, chain = _repair_piece(self.models, s) if len(s) <= 2_000 else (s, "")
-        chains = [chain] if chain else []
-        parts = re.split(f"({_SPACE.pattern})", whole)
-        out = []
-        for w in parts:
-            if w and not w.isascii():
-                w, c = self._word(w)
-                if c:
-                    chains.append(c)
-            out.append(w)
-        return "".join(out), chains
+        parts = _KEEP_SPACE.split(s)
+        words = {i: self._word(w) for i, w in enumerate(parts) if w and not w.isascii()}
+        total, chain = self._shared_chain(list(words.values()))
+        found = []
+        for i, w in words.items():
+            gain, text = w.options.get(chain) or self._by(chain, parts[i])
+            # what most of the sentence went through, and perhaps another chain before it
+            if text and gain > (-4.0 if total >= 15 else 0.0) and (not w.chain or gain > w.gain - 6.0):
+                again = None if text.isascii() else self._word(text)
+                parts[i] = again.fixed if again and again.chain else text
+                found.append(f"{again.chain},{_name(chain)}" if again and again.chain else _name(chain))
+            elif w.chain:
+                parts[i] = w.fixed
+                found.append(w.chain)
+        return "".join(parts), found
+
+    def _by(self, chain: tuple[str, str] | None, word: str) -> tuple[float, str]:
+        r = restore(word, chain) if chain else None
+        if r is None or _LOST.search(r) or _MIXED.search(r):
+            return 0.0, ""
+        return self.models.usual(r) - self.models.usual(word), r
+
+    def _shared_chain(self, words: list[_Word]) -> tuple[float, tuple[str, str] | None]:
+        """The chain that the words together speak for; a word it cannot have made speaks against."""
+        gain: dict[tuple[str, str], float] = {}
+        for w in words:
+            for c, (g, _) in w.options.items():
+                gain[c] = gain.get(c, 0.0) + g + _AGAINST
+        strange = any(w.strange for w in words)
+        best = (0.0, None)
+        unicode = any(c[1] == "utf-8" and g - _AGAINST * len(words) >= 4.0 for c, g in gain.items())
+        for c, g in gain.items():
+            g -= _AGAINST * len(words)
+            if unicode and c[1] in _EAST_ASIA:
+                continue
+            if g >= (4.0 if c[1] == "utf-8" else 5.0 if strange else 9.0) and g > best[0]:
+                best = (g, c)
+        return best
 
 
 def fit_models(documents: DataFrame, train_documents: int = TRAIN_DOCUMENTS) -> Models:
