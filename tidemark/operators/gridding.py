@@ -6,7 +6,7 @@ final aggregate, so what is shuffled has the size of the grid, not of the data.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -71,9 +71,12 @@ def box_keys(df: DataFrame, lat: str, lon: str, box: float) -> DataFrame:
 
 
 def sampling_filter(boxes: DataFrame, fraction: float, n: str = "n_segments") -> DataFrame:
-    """Boxes with at least ``fraction`` of the fullest box's count, and that share."""
+    """Boxes with at least ``fraction`` of the fullest box's count, and that share.
+
+    The fullest count comes from all boxes before any is dropped; it is one row.
+    """
     top = boxes.agg(F.max(n).alias("_top"))
-    return boxes.crossJoin(F.broadcast(top)).withColumn("sampling_fraction", F.col(n) / F.col("_top")).where(F.col(n) >= fraction * F.col("_top")).drop("_top")
+    return boxes.join(F.broadcast(top)).withColumn("sampling_fraction", F.col(n) / F.col("_top")).where(F.col(n) >= fraction * F.col("_top")).drop("_top")
 
 
 def box_mean_spectra(segments: DataFrame, lat: str, lon: str, k: str, psds: list[str], box: float = 2.0, fraction: float | None = None, min_count: int | None = None) -> DataFrame:
@@ -137,7 +140,3 @@ def global_counters(df: DataFrame, ok: Column, valid: Column) -> DataFrame:
     """One row: rows used, rows skipped, valid values."""
     return df.agg(F.count_if(ok).alias("used"), F.count_if(~ok).alias("skipped"), F.count_if(ok & valid).alias("n_valid"))
 
-
-def top_count(df: DataFrame, n: str) -> Column:
-    """The largest count of the whole table beside every row."""
-    return F.max(n).over(Window.partitionBy())

@@ -46,37 +46,30 @@ def swath_spectra(lines: DataFrame, group: list[str], pixel: str, order: str, km
     missing by more than gap * length; a segment needs ``min_pixels`` of them.
     """
     n = max(8, round(length / dx))
-    axis = lines.groupBy(*group, order).agg(F.min(km).alias("km"))
-    axis = tracks.indexed(axis, group, order)
-    bounds = tracks.distance_segments(axis, group, "km", "idx", length, overlap)
-    number = F.row_number().over(Window.partitionBy(*group).orderBy("start_km")) - 1
-    bounds = bounds.withColumn("segment_index", number.cast("int")).withColumn("row", F.explode(F.sequence("i0", F.col("i1") - 1)))
-    placed = axis.withColumnRenamed("idx", "row").join(bounds, [*group, "row"]).select(*group, order, "segment_index", "start_km", F.col("km").alias("axis_km"))
-    m = lines.join(placed, [*group, order])
-    seg = [*group, "segment_index", "start_km"]
+    w = Window.partitionBy(*group)
+    axis = lines.withColumn("axis_km", F.min(km).over(Window.partitionBy(*group, order))).withColumn("_row", F.dense_rank().over(w.orderBy(order)) - 1)
+    m = tracks.distance_members(axis, group, "axis_km", "_row", length, overlap)
+    seg = [*group, "start_km"]
     ok = F.col(value).isNotNull()
     pair = F.when(ok, F.struct(F.col("axis_km").alias("x"), F.col(value).alias("y")))
-    column = m.groupBy(*seg, pixel).agg(
-        F.max("axis_km").alias("last"), F.avg(ok.cast("double")).alias("share"), F.sort_array(F.collect_list(pair)).alias("p")
-    )
-    p = column.withColumn(
-        "psd", F.when(F.col("share") >= 1 - gap, _segment_udf(n, dx, gap, length, detrend)("start_km", "last", F.col("p.x"), F.col("p.y")))
-    )
-    mean = (
-        p.where("psd is not null")
-        .select(*seg, pixel, F.posexplode("psd").alias("ik", "v"))
-        .groupBy(*seg, "ik")
-        .agg(F.avg("v").alias("v"), F.count("*").cast("int").alias("n_pixels_used"))
-        .groupBy(*seg)
-        .agg(F.sort_array(F.collect_list(F.struct("ik", "v"))).getField("v").alias("psd"), F.max("n_pixels_used").alias("n_pixels_used"))
-        .where(F.col("n_pixels_used") >= min_pixels)
-    )
-    meta = m.groupBy(*seg).agg(
-        F.avg("lat").alias("lat_mean"), F.min("lat").alias("lat_min"), F.max("lat").alias("lat_max"), F.avg("lon").alias("lon_mean"),
-        F.avg(ok.cast("double")).alias("valid_fraction"), (F.count_if(~ok) > 0).alias("gap_filled"),
+    last = F.max("axis_km").over(Window.partitionBy(*seg))
+    column = m.withColumn("last", last).groupBy(*seg, pixel).agg(
+        F.max("last").alias("last"), F.count("*").alias("rows"), F.count_if(ok).alias("valid"), F.sort_array(F.collect_list(pair)).alias("p"),
+        F.sum("lat").alias("lat"), F.count("lat").alias("n_lat"), F.min("lat").alias("lat_min"), F.max("lat").alias("lat_max"), F.sum("lon").alias("lon"), F.count("lon").alias("n_lon"),
     )
-    k = F.transform(F.sequence(F.lit(0), F.lit(n // 2)), lambda i: i / (n * dx))
-    return mean.join(meta, seg).withColumn("wavenumber", k)
+    udf = _segment_udf(n, dx, gap, length, detrend)
+    column = column.withColumn("psd", F.when(F.col("valid") >= (1 - gap) * F.col("rows"), udf("start_km", "last", F.col("p.x"), F.col("p.y"))))
+    # a segment has as many spectra as the swath has pixels
+    out = column.groupBy(*seg).agg(
+        F.collect_list("psd").alias("all"), F.count("psd").cast("int").alias("n_pixels_used"),
+        (F.sum("lat") / F.sum("n_lat")).alias("lat_mean"), F.min("lat_min").alias("lat_min"), F.max("lat_max").alias("lat_max"), (F.sum("lon") / F.sum("n_lon")).alias("lon_mean"),
+        (F.sum("valid") / F.sum("rows")).alias("valid_fraction"), (F.sum("valid") < F.sum("rows")).alias("gap_filled"),
+    )
+    bins = F.sequence(F.lit(0), F.lit(n // 2))
+    mean = F.transform(bins, lambda i: F.aggregate("all", F.lit(0.0), lambda s, v: s + F.get(v, i)) / F.col("n_pixels_used"))
+    number = (F.dense_rank().over(w.orderBy("start_km")) - 1).cast("int")
+    out = out.withColumn("segment_index", number).where(F.col("n_pixels_used") >= min_pixels).withColumn("psd", mean)
+    return out.drop("all").withColumn("wavenumber", F.transform(bins, lambda i: i / (n * dx)))
 
 
 def pass_means(spectra: DataFrame, group: list[str]) -> DataFrame:
@@ -157,3 +150,26 @@ def granule_rejects(manifest: DataFrame, results: DataFrame) -> DataFrame:
     return m.where("error is not null").select("granule", F.lit("read").alias("stage"), "error").unionByName(
         silent.select("granule", F.lit("spectra").alias("stage"), F.lit("no usable segment").alias("error"))
     )
+
+
+def screen_patches(cells: DataFrame, keys: list[str], row: str, value: str, max_nan: float = 0.15, max_gap: float = 0.1) -> DataFrame:
+    """(keys, reason): why a patch drops out, cheap gates first: nan_fraction, gap, else used."""
+    share = cells.groupBy(*keys).agg(F.avg(F.col(value).isNull().cast("double")).alias("missing"))
+    gap = tracks.longest_bad_run(cells, keys, row, value).drop("n")
+    reason = F.when(F.col("missing") > max_nan, "nan_fraction").when(F.col("gap_fraction") > max_gap, "gap").otherwise("used")
+    return share.join(gap, keys).select(*keys, reason.alias("reason"))
+
+
+def alias_swath(cells: DataFrame, keys: list[str], row: str, col: str, value: str, rows: int, cols: int, dx: float, dy: float, every: tuple[int, int], taps: int = 17, max_nan: float = 0.15, max_gap: float = 0.1, remove_plane: bool = True, centred: bool = False) -> DataFrame:
+    """Alias decomposition of every patch that passes the gates: screened, filled rows first and
+    then columns, without its plane, decomposed."""
+    used = screen_patches(cells, keys, row, value, max_nan, max_gap).where("reason = 'used'").select(*keys)
+    whole = tracks.fill_plane(cells.join(used, keys, "left_semi"), keys, row, col, value, max_nan)
+    if remove_plane:
+        whole = tracks.detrend_plane(whole, keys, row, col, value)
+    return alias_decomposition(power_2d(whole, keys, row, col, value, rows, cols, dx, dy), keys, rows, cols, dx, dy, every, taps, centred)
+
+
+def paired_segments(a: DataFrame, b: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Rows of two products that share their keys, side by side; never paired by position."""
+    return a.select(*keys, *[F.col(c).alias(f"{c}_a") for c in columns]).join(b.select(*keys, *[F.col(c).alias(f"{c}_b") for c in columns]), keys)

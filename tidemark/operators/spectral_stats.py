@@ -64,7 +64,11 @@ def local_slope(long: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def percentiles(long: DataFrame, keys: list[str], qs: list[float]) -> DataFrame:
-    """(keys, q, value): exact percentiles with linear interpolation, missing values left out."""
+    """(keys, q, value): exact percentiles with linear interpolation, missing values left out.
+
+    Exact percentiles keep a group's distinct values in one task; for groups without bound use
+    mergeable sketches instead.
+    """
     p = long.groupBy(*keys).agg(F.percentile("psd", F.array(*[F.lit(q) for q in qs])).alias("v"))
     return p.select(*keys, F.explode(F.arrays_zip(F.array(*[F.lit(q) for q in qs]).alias("q"), F.col("v"))).alias("z")).select(*keys, F.col("z.q").alias("q"), F.col("z.v").alias("value"))
 

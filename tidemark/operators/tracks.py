@@ -89,15 +89,8 @@ def longest_bad_run(df: DataFrame, group: list[str], row: str, value: str, bad_s
 # --- segmentation ------------------------------------------------------------------------------
 
 
-def distance_segments(df: DataFrame, keys: list[str], km: str, idx: str, length: float, overlap: float = 0.0, min_rows: int = 8) -> DataFrame:
-    """(keys, start_km, i0, i1): segments of ``length`` km, the tail of the track always covered.
-
-    Starts lie every length * (1 - overlap) km while a whole segment fits, a shorter track is one
-    segment; of segments that end at the same row the first stays, short ones drop out.
-    """
-    step = length * (1 - overlap)
-    w = Window.partitionBy(*keys)
-    d = df.where(F.col(km).isNotNull()).withColumn("_total", F.max(km).over(w)).withColumn("_d0", F.min(km).over(w))
+def _starts(km: str, length: float, step: float) -> Column:
+    """Starts of all segments that hold a line, from its ``km`` and the track's ``_d0`` and ``_total``."""
     slack = F.col("_total") - length + 1e-9 - F.col("_d0")
     n = F.greatest(F.ceil(slack / step), F.lit(1))  # starts strictly before the limit
     last = F.col("_d0") + (n - 1) * step
@@ -106,8 +99,32 @@ def distance_segments(df: DataFrame, keys: list[str], km: str, idx: str, length:
     last_in = F.least(F.floor((F.col(km) - F.col("_d0")) / step), n - 1)
     regular = F.when(first_in <= last_in, F.sequence(first_in, last_in)).otherwise(F.array().cast("array<bigint>"))
     starts = F.transform(regular, lambda i: F.col("_d0") + i * step)
-    with_tail = F.when((tail > last + 1e-9) & (F.col(km) >= tail), F.concat(starts, F.array(tail))).otherwise(starts)
-    member = d.select(*keys, idx, F.explode(with_tail).alias("start_km"))
+    return F.when((tail > last + 1e-9) & (F.col(km) >= tail), F.concat(starts, F.array(tail))).otherwise(starts)
+
+
+def distance_members(df: DataFrame, keys: list[str], km: str, idx: str, length: float, overlap: float = 0.0, min_rows: int = 8) -> DataFrame:
+    """Every line with each distance segment that holds it: start_km, i0, i1.
+
+    All windows have the keys of the track in front, so one shuffle on the keys serves them all.
+    """
+    w = Window.partitionBy(*keys)
+    d = df.where(F.col(km).isNotNull()).withColumn("_total", F.max(km).over(w)).withColumn("_d0", F.min(km).over(w))
+    m = d.withColumn("start_km", F.explode(_starts(km, length, length * (1 - overlap)))).drop("_total", "_d0")
+    seg = Window.partitionBy(*keys, "start_km")
+    m = m.withColumn("i0", F.min(idx).over(seg)).withColumn("i1", F.max(idx).over(seg) + 1).where(F.col("i1") - F.col("i0") >= min_rows)
+    first = F.min("start_km").over(Window.partitionBy(*keys, "i1"))
+    return m.withColumn("_first", first).where(F.col("start_km") == F.col("_first")).drop("_first")
+
+
+def distance_segments(df: DataFrame, keys: list[str], km: str, idx: str, length: float, overlap: float = 0.0, min_rows: int = 8) -> DataFrame:
+    """(keys, start_km, i0, i1): segments of ``length`` km, the tail of the track always covered.
+
+    Starts lie every length * (1 - overlap) km while a whole segment fits, a shorter track is one
+    segment; of segments that end at the same row the first stays, short ones drop out.
+    """
+    w = Window.partitionBy(*keys)
+    d = df.where(F.col(km).isNotNull()).withColumn("_total", F.max(km).over(w)).withColumn("_d0", F.min(km).over(w))
+    member = d.select(*keys, idx, F.explode(_starts(km, length, length * (1 - overlap))).alias("start_km"))
     seg = member.groupBy(*keys, "start_km").agg(F.min(idx).alias("i0"), (F.max(idx) + 1).alias("i1")).where(F.col("i1") - F.col("i0") >= min_rows)
     return seg.groupBy(*keys, "i1").agg(F.min(F.struct("start_km", "i0")).alias("s")).select(*keys, "s.start_km", "s.i0", "i1")
 
@@ -302,9 +319,8 @@ def rounded_semi(left: DataFrame, right: DataFrame, keys: list[str], left_col: s
 
 def split_swaths(df: DataFrame, group: list[str], pixel: str, xt: str) -> DataFrame:
     """swath of each pixel column from the sign of its median distance; 0 and missing are neither."""
-    med = df.groupBy(*group, pixel).agg(F.percentile(xt, 0.5).alias("_m"))
-    side = F.when(F.col("_m") < 0, "left").when(F.col("_m") > 0, "right")
-    return df.join(med, [*group, pixel]).withColumn("swath", side).drop("_m")
+    med = F.percentile(xt, 0.5).over(Window.partitionBy(*group, pixel))
+    return df.withColumn("_m", med).withColumn("swath", F.when(F.col("_m") < 0, "left").when(F.col("_m") > 0, "right")).drop("_m")
 
 
 def trim_swaths(df: DataFrame, group: list[str], xt: str, edge: float, both: bool = False) -> DataFrame:

@@ -11,7 +11,7 @@ from tidemark.functions import dsp
 from tidemark.operators import spectra as sp
 from tidemark.operators import tracks as t
 from tidemark.plans import ref_series, ref_stats
-from tidemark.plans.common import clean0, table, tie_free
+from tidemark.plans.common import SEG, clean0, segments, table, tie_free
 
 N, ROWS, COLS = 64, 16, 64
 
@@ -36,6 +36,12 @@ def swath(s, d):
     return sp.swath_spectra(lines, ["granule", "swath"], "pixel_no", "line_no", "km", "ssh", 100.0, 2.0, 0.5, min_pixels=1)
 
 
+def holed(s, d):
+    """Patches with scattered gaps and, in every fifth, a band of missing rows."""
+    gone = ((F.col("row") * 7 + F.col("col") * 13 + F.col("patch")) % 11 == 0) | ((F.col("patch") % 5 == 1) & F.col("row").between(4, 5 + F.col("label") % 3))
+    return cells(s, d).withColumn("v", F.when(~gone, F.col("v")))
+
+
 def queries():
     def spread(column):
         def q(s, d):
@@ -73,7 +79,25 @@ def queries():
         x = ref_stats.long(s, d).where("ik > 0").select("segment_id", "ik", "k", "psd")
         return x.select("segment_id", "ik", clean0(F.col("psd") * dsp.transfer_column(F.col("k"), 9, 2.0)).alias("filtered"))
 
+    def alias_swath(s, d):
+        x = sp.alias_swath(holed(s, d), ["label", "patch"], "row", "col", "v", ROWS, COLS, 0.25, 0.25, (2, 4), 9, 0.3, 0.1)
+        return x.select("label", "patch", "k", *[clean0(c).alias(c) for c in ("direct", "aliased", "total")])
+
+    def alias_drops(s, d):
+        x = sp.screen_patches(holed(s, d), ["label", "patch"], "row", "v", 0.2, 0.1)
+        return x.groupBy("reason").agg(F.count("*").alias("n"))
+
+    def pairs(s, d):
+        x = segments(s, d, "segment_index", "valid_fraction")
+        one = x.groupBy("granule", "segment_index", "swath").agg(F.avg("valid_fraction").alias("valid"), F.count("*").alias("n"))
+        left, right = (one.where(F.col("swath") == w) for w in ("left", "right"))
+        j = sp.paired_segments(left, right, ["granule", "segment_index"], ["valid", "n"])
+        return j.select("granule", "segment_index", clean0(F.col("valid_a") - F.col("valid_b")).alias("difference"), "n_a", "n_b")
+
     return {
+        "alias_swath": alias_swath,
+        "alias_drop_counters": alias_drops,
+        "segment_pairs": pairs,
         "periodogram_1d": spread(lambda v: dsp.dft_power(v, N, 2.0)),
         "periodogram_arrow": spread(lambda v: dsp.periodogram_udf(2.0)(v)),
         "periodogram_undoubled": spread(lambda v: dsp.periodogram_udf(2.0, doubled=False)(v)),
@@ -134,6 +158,15 @@ _T5 = dsp.hamming(5)
 _H5 = "pow(" + " + ".join(f"{float(w)!r} * cos(4 * pi() * {i} * kf)" for i, w in enumerate(_T5)) + ", 2) + pow(" + " + ".join(f"{float(w)!r} * sin(4 * pi() * {i} * kf)" for i, w in enumerate(_T5)) + ", 2)"
 
 ORACLE = tie_free({
+    "alias_drop_counters": f"""with e0 as (select label, row_number() over (partition by label order by vec_id) - 1 g, embedding from embeddings), e1 as (select label, g // {ROWS} patch, g % {ROWS} r from e0),
+      c as (select label, patch, r, ((r * 7 + j * 13 + patch) % 11 = 0) or (patch % 5 = 1 and r between 4 and 5 + label % 3) gone from e1, range(0, {COLS}) q(j)),
+      m as (select label, patch, avg(case when gone then 1e0 else 0e0 end) missing, count(distinct r) n from c group by 1, 2),
+      b as (select label, patch, r from c group by 1, 2, 3 having avg(case when gone then 1e0 else 0e0 end) > 5e-1),
+      i as (select label, patch, count(*) len from (select *, r - row_number() over (partition by label, patch order by r) g from b) group by label, patch, g),
+      l as (select label, patch, max(len) len from i group by 1, 2)
+      select case when missing > 0.2 then 'nan_fraction' when coalesce(len, 0) / cast(n as double) > 0.1 then 'gap' else 'used' end reason, count(*) n from m left join l using (label, patch) group by 1""",
+    "segment_pairs": f"""with {SEG}, o as (select granule, segment_index, swath, avg(valid_fraction) v, count(*) n from seg group by 1, 2, 3)
+      select a.granule, a.segment_index, round(a.v - b.v, 6) + 0e0 difference, a.n n_a, b.n n_b from o a join o b on a.granule = b.granule and a.segment_index = b.segment_index and a.swath = 'left' and b.swath = 'right'""",
     "periodogram_1d": f"with {_X}, {_dft(64, 'periodic', 'linear', _S64, True)} select id vec_id, ik, round(psd, 6) + 0e0 psd from pw",
     "periodogram_arrow": f"with {_X}, {_dft(64, 'periodic', 'linear', _S64, True)} select id vec_id, ik, round(psd, 6) + 0e0 psd from pw",
     "periodogram_undoubled": f"with {_X}, {_dft(64, 'periodic', 'linear', _S64, False)} select id vec_id, ik, round(psd, 6) + 0e0 psd from pw",
