@@ -253,10 +253,13 @@ class Models:
 
 def _margin(models: Models, chain: tuple[str, str], text: str) -> float:
     """Gain that an inversion must bring. Reading as UTF-8 seldom succeeds by chance; of other
-    chains less is asked where the text holds a character that undamaged texts hardly know."""
+    chains less is asked where the text mixes scripts within a word or holds a character that
+    undamaged texts hardly know, and more where a single character speaks."""
     if chain[1] == "utf-8":
         return 4.0
-    return 5.0 if models.strange(text) else 9.0
+    if _MIXED.search(text) or models.strange(text):
+        return 5.0
+    return 9.0 if sum(not c.isascii() for c in text) > 1 else 12.0
 
 
 def _inversions(models: Models, text: str) -> dict[tuple[str, str], tuple[float, str]]:
@@ -286,7 +289,7 @@ class _Word:
 
     def __init__(self, models: Models, word: str):
         self.options = _inversions(models, word)
-        self.strange = models.strange(word)
+        self.strange = bool(_MIXED.search(word)) or models.strange(word)
         text, options, steps, self.gain = word, self.options, [], 0.0
         for _ in range(4):
             good = [(g, c, r) for c, (g, r) in options.items() if g >= _margin(models, c, text)]
@@ -361,14 +364,14 @@ class Repairer:
         for w in words:
             for c, (g, _) in w.options.items():
                 gain[c] = gain.get(c, 0.0) + g + _AGAINST
-        strange = any(w.strange for w in words)
+        usual = 5.0 if any(w.strange for w in words) else 9.0 if len(words) > 1 else 12.0
         best = (0.0, None)
         unicode = any(c[1] == "utf-8" and g - _AGAINST * len(words) >= 4.0 for c, g in gain.items())
         for c, g in gain.items():
             g -= _AGAINST * len(words)
             if unicode and c[1] in _EAST_ASIA:
                 continue
-            if g >= (4.0 if c[1] == "utf-8" else 5.0 if strange else 9.0) and g > best[0]:
+            if g >= (4.0 if c[1] == "utf-8" else usual) and g > best[0]:
                 best = (g, c)
         return best
 
