@@ -121,7 +121,7 @@ def queries():
 
     def months(s, d):
         m = table(s, d, "granule_manifest").select("granule", "subdir").distinct()
-        y, mo = src.month_of_folder(F.concat(F.lit("/data/"), F.col("subdir"), F.lit("/")), {"SWOT_L2_LR_SSH_Expert_0424": (2024, 4)})
+        y, mo = src.month_of_folder(F.concat(F.lit("/data/"), F.col("subdir"), F.lit("/")))
         return m.select("granule", "subdir", y.alias("year"), mo.alias("month"), src.stem(F.concat(F.lit("/data/"), F.col("subdir"), F.lit("/"), F.col("granule"), F.lit(".nc"))).alias("stem"))
 
     def scalars(s, d):
@@ -238,8 +238,8 @@ ORACLE = tie_free({
         round(2 * 30e0 * pow(1 / 23e-1, 2) * pow(case when swh_karin >= 0 then swh_karin end / 2, 15e-1), 6) + 0e0 white_noise from px""",
     "local_xy": f"""with {PX}, p as (select obs_id, granule, latitude, longitude - 360e0 * floor(longitude / 360e0) lon from px), r as (select granule, avg(latitude) lat0, avg(lon) lon0 from p group by 1)
         select obs_id, round((lon - lon0) * (pi() / 180 * 6371e0) * cos(radians(lat0)), 4) + 0e0 x_km, round((latitude - lat0) * (pi() / 180 * 6371e0), 4) + 0e0 y_km from p join r using (granule)""",
-    "year_month_from_path": """select distinct granule, subdir, cast(case when subdir = 'SWOT_L2_LR_SSH_Expert_0424' then 2024 when m between 1 and 12 then 2000 + y end as integer) "year",
-        cast(case when subdir = 'SWOT_L2_LR_SSH_Expert_0424' then 4 when m between 1 and 12 then m end as integer) "month", granule stem
+    "year_month_from_path": """select distinct granule, subdir, cast(case when m between 1 and 12 then 2000 + y end as integer) "year",
+        cast(case when m between 1 and 12 then m end as integer) "month", granule stem
         from (select *, try_cast(regexp_extract(subdir, '([0-9]{2})([0-9]{2})$', 1) as integer) m, try_cast(regexp_extract(subdir, '([0-9]{2})([0-9]{2})$', 2) as integer) y from granule_manifest)""",
     "product_difference": f"with {PX} select obs_id, round(case when abs(ssha_karin_2) < 1e4 then ssha_karin_2 end - height_cor_xover, 6) + 0e0 diff from px",
     "roi_filter": f"with {SEG} select segment_id, swath, month from seg where lat_mean between -40 and 40 and lon_mean between -60 and 120",

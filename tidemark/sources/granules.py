@@ -22,10 +22,16 @@ def first_existing(df: DataFrame, candidates: tuple[str, ...] | list[str]) -> st
 
 
 def read_pixels(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """Pixels with NaN as NULL and repeated rows (equal but for the time of receipt) once."""
+    """Pixels with NaN as NULL and repeated rows (equal but for the time of receipt) once.
+
+    Rows are first brought together by series (granule and pixel column), which is also the
+    clustering that removing repeats and every window on the series need: one shuffle serves all.
+    """
     df = spark.read.parquet(path)
     keep = columns or [c for c in df.columns if c != "received_at"]
-    return nulls_for_nans(df.select(*keep)).distinct()
+    rows = nulls_for_nans(df.select(*keep))
+    series = [c for c in ("granule", "pixel_no") if c in keep]
+    return (rows.repartition(*series) if series else rows).distinct()
 
 
 def corrected_ssh(df: DataFrame, var: str = "ssha_karin_2", tide: bool = True) -> Column:
