@@ -14,8 +14,8 @@ text comes back too.  Replacement characters and C1 controls are damage that can
 anything else; where no chain gives them back the text is reported without a restoration.
 
 Physical plan: counting is map-side in numpy with one small shuffle of bucket sums; the models have
-a fixed number of buckets, so what is broadcast does not grow with the data; scoring is one narrow
-stage.  The neighbour counts cover all rows; the classifier is fitted on at most about
+a fixed number of buckets, so what is broadcast does not grow with the data; scoring is one stage
+over evenly dealt texts.  The neighbour counts cover all rows; the classifier is fitted on at most about
 ``TRAIN_DOCUMENTS`` rows, chosen by a hash of the id, which is a parameter.
 
 Defined cases: null, empty and pure ASCII texts are no cases; a text is judged by its own
@@ -56,6 +56,7 @@ _SENTENCE = re.compile(r"(?<=[.!?\n])[ \t\r\n]+|\n|(?<=[。！？，、])")
 # A whole character of UTF-8 among bytes that stand one to a character.
 _UTF8_CHAR = re.compile("[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 _KEEP_SPACE, _KEEP_SENTENCE = (re.compile(f"({p.pattern})") for p in (_SPACE, _SENTENCE))
+_BESIDE = re.compile(r"[^\x00-\x7f]{2,}")
 _AGAINST = 4.0
 # Latin beside Greek or Cyrillic, or around an ideograph, within a word: no sane restoration
 # brings that in.
@@ -150,7 +151,9 @@ _COMMON = re.compile(
 
 def _utf8_inside(text: str) -> bool:
     """Some characters read strictly as common ones of UTF-8 through a single-byte encoding."""
-    if text.isascii():
+    # a character of UTF-8 shows as two or more characters beyond ASCII side by side
+    text = " ".join(_BESIDE.findall(text))
+    if not text:
         return False
     for w in ("cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1251", "cp1250"):
         for m in _UTF8_CHAR.finditer(text.translate(_as_bytes(w))):
@@ -195,17 +198,14 @@ def _count_clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _count_garbled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     counts = np.zeros((len(CHAINS), BIGRAM_BUCKETS), np.int64)
     for b in batches:
-        for t in b["text"]:
-            if not t or t.isascii() or _LOST.search(t) or _utf8_inside(t):
-                continue
-            t = t[:20_000] if len(t) > 20_000 else t
-            for sentence in _SENTENCE.split(t):
-                if sentence.isascii():
-                    continue
-                for i, chain in enumerate(CHAINS):
-                    g = garble(sentence, chain)
-                    if g is not None and g != sentence:
-                        np.add.at(counts[i], _byte_bigrams(f" {g} "), 1)
+        texts = [t for t in b["text"] if t and not t.isascii() and not _LOST.search(t) and not _utf8_inside(t)]
+        for k in range(0, len(texts), 200):
+            sentences = [s for t in texts[k : k + 200] for s in _SENTENCE.split(t) if not s.isascii()]
+            for i, chain in enumerate(CHAINS):
+                made = [g for s in sentences if (g := garble(s, chain)) is not None and g != s]
+                if made:
+                    # spaces between the sentences: no bigram beyond ASCII reaches across
+                    counts[i] += np.bincount(_byte_bigrams(" " + "  ".join(made) + " "), minlength=BIGRAM_BUCKETS)
     for i in range(len(CHAINS)):
         at = np.flatnonzero(counts[i])
         yield pd.DataFrame({"kind": str(i), "bucket": at, "n": counts[i][at]})
@@ -406,7 +406,10 @@ def judge(documents: DataFrame, models: Models) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc_id", "restored", "chains", "lost"])
 
     beyond = documents.where(F.col("doc_id").isNotNull() & F.col("text").rlike("[^\\x00-\\x7f]")).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return beyond.mapInPandas(run, "doc_id long, restored string, chains string, lost boolean")
+    # judging a text costs far more than moving it, so the texts are dealt out evenly first
+    spark = documents.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return beyond.repartition(tasks, "doc_id").mapInPandas(run, "doc_id long, restored string, chains string, lost boolean")
 
 
 def repair_documents(documents: DataFrame, train_documents: int = TRAIN_DOCUMENTS) -> DataFrame:
