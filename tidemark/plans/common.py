@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.schema import null_nan
@@ -37,6 +37,12 @@ def segments(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return once.drop("processed_at").withColumn("swath", F.lower(F.trim("swath"))).withColumn("lat_mean", null_nan("lat_mean")).withColumn("lon_mean", null_nan(lon))
 
 
+def measured(c) -> Column:
+    """Whether a spectral value enters statistics: null, NaN, infinite and negative ones do not; no size is too large."""
+    c = F.col(c) if isinstance(c, str) else c
+    return (c >= 0) & (c < float("inf"))
+
+
 # --- the same in SQL ---------------------------------------------------------------------------
 
 def nn(c: str) -> str:

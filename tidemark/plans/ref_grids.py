@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import geo
 from tidemark.operators import gridding as g
-from tidemark.plans.common import EXP, LON180, LONG, PX, SEG, clean0, heights, pixels, segments, table, tie_free
+from tidemark.plans.common import EXP, LON180, LONG, PX, SEG, clean0, heights, measured, pixels, segments, table, tie_free
 from tidemark.sources import granules as src
 
 _KEYS = ["obs_id", "granule", "line_no", "pixel_no"]
@@ -21,7 +21,7 @@ def _long(s, d, *cols):
 
 def _good(long):
     """Values that enter means: finite and positive-definite spectra only."""
-    return long.where((F.col("psd") >= 0) & (F.col("psd") < 10))
+    return long.where(measured("psd"))
 
 
 GOOD = f"{LONG}, good as (select * from long where p >= 0 and p < 10)"
@@ -60,17 +60,17 @@ def queries():
         return finish(g.grid_finish(g.grid_accumulate(v, "latitude", "lon", "value", 5.0, keys=("var",)), 5.0), "var")
 
     def box_psd(s, d):
-        x = segments(s, d, "wavenumber", "psd").withColumn("psd", F.transform("psd", lambda v: F.when((v >= 0) & (v < 10), v)))
+        x = segments(s, d, "wavenumber", "psd").withColumn("psd", F.transform("psd", lambda v: F.when(measured(v), v)))
         b = g.box_mean_spectra(x, "lat_mean", "lon_mean", "wavenumber", ["psd"], box=2.0)
         return b.where("mean_psd is not null").select("ilat", "ilon", "lat_center", "lon_center", "n_segments", "ik", "k", clean0(F.col("mean_psd") * 1e4).alias("mean_psd_cm2"))
 
     def box_filtered(s, d):
-        x = segments(s, d, "wavenumber", "psd").withColumn("psd", F.transform("psd", lambda v: F.when((v >= 0) & (v < 10), v)))
+        x = segments(s, d, "wavenumber", "psd").withColumn("psd", F.transform("psd", lambda v: F.when(measured(v), v)))
         b = g.box_mean_spectra(x, "lat_mean", "lon_mean", "wavenumber", ["psd"], box=10.0, fraction=0.15)
         return b.where("mean_psd is not null").select("ilat", "ilon", "n_segments", clean0("sampling_fraction").alias("sampling_fraction"), "ik", clean0(F.col("mean_psd") * 1e4).alias("mean_psd_cm2"))
 
     def box_three(s, d):
-        split = F.transform("psd", lambda v: F.when((v >= 0) & (v < 10), v))
+        split = F.transform("psd", lambda v: F.when(measured(v), v))
         x = segments(s, d, "wavenumber", "psd").withColumn("total", split)
         x = x.withColumn("direct", F.transform("total", lambda v: v * 0.75)).withColumn("aliased", F.transform("total", lambda v: v * 0.25))
         b = g.box_mean_spectra(x, "lat_mean", "lon_mean", "wavenumber", ["direct", "aliased", "total"], box=20.0, min_count=5)

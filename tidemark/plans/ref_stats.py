@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import spectral_stats as st
 from tidemark.operators.tracks import resample
-from tidemark.plans.common import LONG, SEG, clean0, segments, tie_free
+from tidemark.plans.common import LONG, SEG, clean0, measured, segments, tie_free
 from tidemark.schema import unnest_vectors
 
 BANDS = [(a, b) for a in (0.01, 0.02, 0.05) for b in (0.1, 0.2)]
@@ -14,7 +14,7 @@ BANDS = [(a, b) for a in (0.01, 0.02, 0.05) for b in (0.1, 0.2)]
 
 def long(s, d):
     x = unnest_vectors(segments(s, d, "wavenumber", "psd"), ["segment_id", "granule", "swath", "lat_mean", "lon_mean", "month"], "wavenumber", "psd")
-    return x.where("psd >= 0 and psd < 10").withColumn("psd", F.col("psd") * 1e4)
+    return x.where(measured("psd")).withColumn("psd", F.col("psd") * 1e4)
 
 
 def queries():
