@@ -45,3 +45,17 @@ def test_large_values_enter_boxes(spark, small, values):
     want = box.groupby(["ilat", "ik"]).mean()
     assert len(got) == len(want)
     assert np.allclose(got, want.reindex(got.index), rtol=1e-9, atol=1e-6)
+
+
+def test_outputs_of_every_month_count(spark, small, tmp_path):
+    """Only the granule that lost all its segments is missing, whatever months the others have."""
+    for name in ("granule_manifest", "segment_spectra"):
+        x = spark.read.parquet(f"{small}/{name}.parquet")
+        if name == "segment_spectra":
+            m = pd.read_parquet(f"{small}/granule_manifest.parquet")
+            gone = m[m.error.isna() | (m.error.str.strip() == "")].granule.min()
+            x = x.where(x.granule != gone)
+        x.write.parquet(f"{tmp_path}/{name}.parquet")
+    got = ref_grids.queries()["manifest_missing"](spark, str(tmp_path)).collect()
+    assert [r.granule for r in got] == [gone]
+    assert ref_grids.queries()["manifest_missing"](spark, small).count() == 0

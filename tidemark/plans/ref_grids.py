@@ -148,7 +148,7 @@ def queries():
         return out.groupBy("granule", "swath").agg(F.count("*").alias("n"))
 
     def no_output(s, d):
-        return src.missing_outputs(table(s, d, "granule_manifest"), segments(s, d).where("month = 4"))
+        return src.missing_outputs(table(s, d, "granule_manifest"), segments(s, d))
 
     def counts(s, d):
         return segments(s, d).rollup("data_year", "month", "swath").agg(F.count("*").alias("n"), F.countDistinct("granule").alias("granules"))
