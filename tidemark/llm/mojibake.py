@@ -7,8 +7,8 @@ are fitted on texts that show no trace of damage:
   chain, which names the chains that may have made a piece of text;
 * counts of neighbouring characters of the undamaged texts, which say how usual a spelling is.
 
-For every word that holds characters beyond ASCII the classifier's best chains are inverted, and
-the words of a sentence vote on a chain together; an inversion counts only if it is strictly
+For every word that holds characters beyond ASCII all chains are inverted, the classifier's score
+weighing between them, and the words of a sentence vote on a chain together; an inversion counts only if it is strictly
 decodable all the way and its result is more usual than what stands there by a clear margin.  Inversions are repeated, so doubly garbled
 text comes back too.  Replacement characters and C1 controls are damage that cannot be read as
 anything else; where no chain gives them back the text is reported without a restoration.
@@ -40,7 +40,8 @@ TRAIN_DOCUMENTS = 2_000
 PAIR_BUCKETS = 1 << 18
 CHAR_BUCKETS = 1 << 16
 BIGRAM_BUCKETS = 1 << 14
-TOP_CHAINS = 8
+# What a chain loses of its gain for each unit of log-likelihood that it is behind the likeliest.
+PRIOR = 1.0
 WORD_CACHE = 200_000
 
 _SINGLE = ("cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1251", "cp1250", "koi8_r")
@@ -244,11 +245,12 @@ class Models:
         odd = x[self.char[x % CHAR_BUCKETS] <= self.char_total * 1e-7]
         return len(odd) > 0 and (not beside or any(chr(c) not in beside for c in odd))
 
-    def chains(self, text: str, top: int = TOP_CHAINS) -> list[tuple[str, str]]:
-        """The likeliest chains for a piece of text."""
-        score = np.where(self.known, self.chain[_byte_bigrams(f" {text} ")].sum(axis=0), -np.inf)
-        best = np.argpartition(-score, min(top, len(score) - 1))[:top]
-        return [CHAINS[i] for i in best[np.argsort(-score[best])] if score[i] > -np.inf]
+    def chains(self, text: str) -> list[tuple[tuple[str, str], float]]:
+        """All known chains, the likeliest for a piece of text first, with how far each one's
+        log-likelihood is behind the first's."""
+        score = self.chain[_byte_bigrams(f" {text} ")].sum(axis=0)
+        order = [i for i in np.argsort(-score, kind="stable") if self.known[i]]
+        return [(CHAINS[i], float(score[order[0]] - score[i])) for i in order]
 
 
 def _margin(models: Models, chain: tuple[str, str], text: str) -> float:
@@ -263,18 +265,24 @@ def _margin(models: Models, chain: tuple[str, str], text: str) -> float:
 
 
 def _inversions(models: Models, text: str) -> dict[tuple[str, str], tuple[float, str]]:
-    """What the likeliest chains make of a piece, with the gain each brings; sane results only."""
+    """What every chain that can have made a piece gives back, with the gain each brings less
+    ``PRIOR`` of what the classifier holds against it (reading as UTF-8 seldom succeeds by chance and
+    loses nothing); sane results only, the likeliest first."""
     here = models.usual(text)
+    lost, mixed = _LOST.search(text), _MIXED.search(text)
     out = {}
-    for chain in models.chains(text):
+    usual: dict[str, float | None] = {}  # many chains give the same back; None where it is not sane
+    for chain, behind in models.chains(text):
         r = restore(text, chain)
         if r is None and chain[1] == "utf-8" and not _multibyte(chain[0]):
             r = restore_parts(text, chain[0])
-        if r is None or _LOST.search(r) and not _LOST.search(text) or models.strange(r, text):
+        if r is None:
             continue
-        if _MIXED.search(r) and not _MIXED.search(text):
-            continue
-        out[chain] = (models.usual(r) - here, r)
+        if r not in usual:
+            sane = not (_LOST.search(r) and not lost or models.strange(r, text) or _MIXED.search(r) and not mixed)
+            usual[r] = models.usual(r) if sane else None
+        if usual[r] is not None:
+            out[chain] = (usual[r] - here - (0.0 if chain[1] == "utf-8" else PRIOR * behind), r)
     return out
 
 
