@@ -23,9 +23,10 @@ def lon_360(lon: Column) -> Column:
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Great-circle distance; the argument of the arc sine is clamped to 1."""
+    """Great-circle distance, NULL where a coordinate is; the argument of the arc sine is clamped to 1
+    (not by ``least``, which would take a NULL for 1)."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * EARTH_KM * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
+    return 2 * EARTH_KM * F.asin(F.sqrt(F.when((a > 1.0) & ~F.isnan(a), F.lit(1.0)).otherwise(a)))
 
 
 def coriolis(lat: Column) -> Column:

@@ -21,7 +21,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-EARTH_KM = 6371.0088
+from tidemark.functions.geo import EARTH_KM, haversine_km
+
 _BITS = 21  # cells per axis: 2**21, edges of about 6 m
 
 
@@ -33,15 +34,6 @@ def finite(*cols: str) -> Column:
     return out
 
 
-def great_circle_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Haversine distance on the sphere of radius EARTH_KM."""
-    a = (
-        F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2)
-        + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    )
-    return 2 * EARTH_KM * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
-
-
 def _spread(x: Column) -> Column:
     """Bits of a 21-bit number, two zero bits between each: its binary digits read as octal ones."""
     return F.conv(F.bin(x), 8, 10).cast("long")
@@ -119,7 +111,7 @@ def near_pairs(points: DataFrame, km: float, id_col: str, lat_col: str, lon_col:
     return (
         left.join(right, ["g", "cell"])
         .where("id1 < id and code >= lo and code <= hi")
-        .withColumn("km", great_circle_km(F.col("lat1"), F.col("lon1"), F.col("lat"), F.col("lon")))
+        .withColumn("km", haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat"), F.col("lon")))
         .where(F.col("km") <= km)
         .select(F.col("g").alias("group"), F.col("id1").alias("id"), F.col("id").alias("other_id"), "km")
         .dropDuplicates(["group", "id", "other_id"])
@@ -167,7 +159,7 @@ def within_regions(
     return (
         placed.join(ranges, ["level", "cell"])
         .where("code >= lo and code <= hi")
-        .withColumn("km", great_circle_km(F.col("rlat"), F.col("rlon"), F.col("lat"), F.col("lon")))
+        .withColumn("km", haversine_km(F.col("rlat"), F.col("rlon"), F.col("lat"), F.col("lon")))
         .where("km <= rkm")
         .select("id", F.col("rid").alias("region_id"), "km")
         .dropDuplicates(["id", "region_id"])

@@ -87,10 +87,10 @@ def pooled_sides(errors: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def power_law(long: DataFrame, keys: list[str], exponents: list[float], anchor: int = 2) -> DataFrame:
-    """(keys, exponent, k, reference): power laws through the ``anchor``-th bin of each spectrum."""
+    """(keys, exponent, ik, k, reference): power laws through the ``anchor``-th bin of each spectrum."""
     at = F.max(F.when(F.col("ik") == anchor, F.struct("k", "psd"))).over(Window.partitionBy(*keys))
     d = long.withColumn("_a", at).where("k > 0 and _a is not null").withColumn("exponent", F.explode(F.array(*[F.lit(float(e)) for e in exponents])))
-    return d.select(*keys, "exponent", "k", (F.col("_a.psd") * F.pow(F.col("k") / F.col("_a.k"), F.col("exponent"))).alias("reference"))
+    return d.select(*keys, "exponent", "ik", "k", (F.col("_a.psd") * F.pow(F.col("k") / F.col("_a.k"), F.col("exponent"))).alias("reference"))
 
 
 def normalised(long: DataFrame, keys: list[str]) -> DataFrame:

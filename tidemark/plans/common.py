@@ -66,6 +66,37 @@ SEG = f"""seg as (select * exclude (lat_mean, lon_mean, swath), {nn('lat_mean')}
 LONG = "long as (select seg.*, u.ik - 1 ik, wavenumber[u.ik] k, psd[u.ik] p from seg, unnest(range(1, 64)) u(ik) where psd is not null and psd[u.ik] is not null and not isnan(psd[u.ik]))"
 
 
+def hav_sql(a1: str, a2: str, b1: str, b2: str) -> str:
+    """Great-circle km; NULL where a coordinate is, which ``least(1, a)`` would lose."""
+    a = f"pow(sin(radians({b1} - {a1}) / 2), 2) + cos(radians({a1})) * cos(radians({b1})) * pow(sin(radians({b2} - {a2}) / 2), 2)"
+    return f"2e0 * 6371.0088e0 * asin(sqrt(list_transform([{a}], lambda h: case when h > 1e0 then 1e0 else h end)[1]))"
+
+
+def significant(c, digits: int = 8) -> Column:
+    """Rounded to so many significant digits, for values that range over many powers of ten; halves
+    are moved off the tie first, as in ``clean0``, and only whole powers of ten are used."""
+    c = F.col(c) if isinstance(c, str) else c
+    e = F.floor(F.log10(F.abs(c)))
+    q = F.pow(F.lit(10.0), F.abs(e).cast("double"))
+    m = F.round(F.when(e < 0, c * q).otherwise(c / q) + 3.3 * 10.0 ** (-digits - 1), digits - 1)
+    return F.when(c == 0, F.lit(0.0)).when(e < 0, m / q).otherwise(m * q)
+
+
+def significant_sql(sql: str, digits: int = 8) -> str:
+    """The same in place of every ``round(x, 6) + 0e0`` of a text."""
+    end = ", 6) + 0e0"
+    e, q = "floor(log10(abs(v)))", "pow(1e1, abs(floor(log10(abs(v)))))"
+    half = f"+ 33e-{digits + 2}, {digits - 1})"
+    value = f"case when v = 0 then 0e0 when {e} < 0 then round(v * {q} {half} / {q} else round(v / {q} {half} * {q} end"
+    while (at := sql.find(end)) >= 0:
+        depth, i = 1, at
+        while depth:
+            i -= 1
+            depth += {")": 1, "(": -1}.get(sql[i], 0)
+        sql = f"{sql[: i - 5]}list_transform([{sql[i + 1 : at]}], lambda v: {value})[1]{sql[at + len(end) :]}"
+    return sql
+
+
 def clean0(c, digits: int = 6):
     """Rounded for comparison: exact halves moved off the tie first, minus zero made zero."""
     c = F.col(c) if isinstance(c, str) else c

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.operators import schema_drift, spatial, spike_hmm
+from tidemark.plans.common import hav_sql
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -22,11 +23,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
-_HAVERSINE = (
-    "2 * 6371.0088e0 * asin(sqrt(least(1e0, pow(sin(radians({b}.lat - {a}.lat) / 2), 2)"
-    " + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin(radians({b}.lon - {a}.lon) / 2), 2))))"
-)
-
 ORACLE = {
     "p1_found": """
 with files as (select distinct granule, file_no from granule_manifest),
@@ -56,9 +52,9 @@ with seg as (select distinct segment_id, run_id, lat_mean lat, lon_mean lon from
              where isfinite(lat_mean) and isfinite(lon_mean)),
 site as (select site_id, latitude lat, longitude lon, radius_km from reference_sites)
 select 'segment' pair_kind, a.segment_id, b.segment_id other_id from seg a join seg b on a.run_id = b.run_id and a.segment_id < b.segment_id
-where abs(a.lat - b.lat) < 0.1 and {_HAVERSINE.format(a='a', b='b')} <= 10
+where abs(a.lat - b.lat) < 0.1 and {hav_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 10
 union all
 select 'site', seg.segment_id, cast(site.site_id as bigint) from seg join site on abs(seg.lat - site.lat) <= radius_km / 111e0 + 0.01
-where {_HAVERSINE.format(a='site', b='seg')} <= radius_km
+where {hav_sql('site.lat', 'site.lon', 'seg.lat', 'seg.lon')} <= radius_km
 """,
 }

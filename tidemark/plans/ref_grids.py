@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import geo
 from tidemark.operators import gridding as g
-from tidemark.plans.common import EXP, LON180, LONG, PX, SEG, clean0, heights, measured, pixels, segments, table, tie_free
+from tidemark.plans.common import EXP, LON180, LONG, PX, SEG, clean0, hav_sql, heights, measured, pixels, segments, significant, significant_sql, table, tie_free
 from tidemark.sources import granules as src
 
 _KEYS = ["obs_id", "granule", "line_no", "pixel_no"]
@@ -24,7 +24,7 @@ def _good(long):
     return long.where(measured("psd"))
 
 
-GOOD = f"{LONG}, good as (select * from long where p >= 0 and p < 10)"
+GOOD = f"{LONG}, good as (select * from long where p >= 0 and p < 'inf'::double)"
 
 
 def queries():
@@ -62,19 +62,19 @@ def queries():
     def box_psd(s, d):
         x = segments(s, d, "wavenumber", "psd").withColumn("psd", F.transform("psd", lambda v: F.when(measured(v), v)))
         b = g.box_mean_spectra(x, "lat_mean", "lon_mean", "wavenumber", ["psd"], box=2.0)
-        return b.where("mean_psd is not null").select("ilat", "ilon", "lat_center", "lon_center", "n_segments", "ik", "k", clean0(F.col("mean_psd") * 1e4).alias("mean_psd_cm2"))
+        return b.where("mean_psd is not null").select("ilat", "ilon", "lat_center", "lon_center", "n_segments", "ik", "k", significant(F.col("mean_psd") * 1e4, 10).alias("mean_psd_cm2"))
 
     def box_filtered(s, d):
         x = segments(s, d, "wavenumber", "psd").withColumn("psd", F.transform("psd", lambda v: F.when(measured(v), v)))
         b = g.box_mean_spectra(x, "lat_mean", "lon_mean", "wavenumber", ["psd"], box=10.0, fraction=0.15)
-        return b.where("mean_psd is not null").select("ilat", "ilon", "n_segments", clean0("sampling_fraction").alias("sampling_fraction"), "ik", clean0(F.col("mean_psd") * 1e4).alias("mean_psd_cm2"))
+        return b.where("mean_psd is not null").select("ilat", "ilon", "n_segments", "sampling_fraction", "ik", significant(F.col("mean_psd") * 1e4, 10).alias("mean_psd_cm2"))
 
     def box_three(s, d):
         split = F.transform("psd", lambda v: F.when(measured(v), v))
         x = segments(s, d, "wavenumber", "psd").withColumn("total", split)
         x = x.withColumn("direct", F.transform("total", lambda v: v * 0.75)).withColumn("aliased", F.transform("total", lambda v: v * 0.25))
         b = g.box_mean_spectra(x, "lat_mean", "lon_mean", "wavenumber", ["direct", "aliased", "total"], box=20.0, min_count=5)
-        return b.where("mean_total is not null").select("ilat", "ilon", "n_segments", "ik", *[clean0(F.col(f"mean_{p}") * 1e4).alias(f"mean_{p}") for p in ("direct", "aliased", "total")])
+        return b.where("mean_total is not null").select("ilat", "ilon", "n_segments", "ik", *[significant(F.col(f"mean_{p}") * 1e4, 10).alias(f"mean_{p}") for p in ("direct", "aliased", "total")])
 
     def box_scalar(s, d):
         b = g.box_mean_scalar(segments(s, d, "valid_fraction"), "lat_mean", "lon_mean", "valid_fraction", 2.0)
@@ -99,7 +99,7 @@ def queries():
         def run(s, d):
             b = g.box_keys(_good(_long(s, d)), "lat_mean", "lon_mean", 10.0)
             per_box = b.groupBy("ilat", "ilon", "ik").agg(F.avg("psd").alias("m"))
-            return per_box.groupBy(axis, "ik").agg(clean0(F.avg("m") * 1e4).alias("mean_cm2"), F.count("*").alias("n_boxes"))
+            return per_box.groupBy(axis, "ik").agg(significant(F.avg("m") * 1e4, 10).alias("mean_cm2"), F.count("*").alias("n_boxes"))
 
         return run
 
@@ -197,7 +197,7 @@ def queries():
     }
 
 
-_H = "2e0 * 6371.0088e0 * asin(sqrt(least(1e0, pow(sin(radians(0e0 - latitude) / 2), 2) + cos(radians(latitude)) * cos(radians(0e0)) * pow(sin(radians(0e0 - longitude) / 2), 2))))"
+_H = hav_sql("latitude", "longitude", "0e0", "0e0")
 _L = LON180.format(x="longitude")
 _CELL = "cast(floor((latitude + 60e0) / {s}) as integer) ilat, cast(floor((lon + 180e0) / {s}) as integer) ilon"
 _HG = f"{EXP}, p as (select *, {_L} lon from hh where ssh is not null)"
@@ -218,10 +218,10 @@ def _grid(step, drop=True, clip=False):
 def _boxes(b, where=""):
     return f"""{SEG}, bx as (select *, {_BOX.format(b=b)} from seg where lat_mean is not null and lon_mean is not null),
       cnt as (select ilat, ilon, count(*) n_segments from bx group by 1, 2 {where}),
-      lg as (select ilat, ilon, u.ik - 1 ik, wavenumber[u.ik] k, case when psd[u.ik] >= 0 and psd[u.ik] < 10 then psd[u.ik] end p from bx, unnest(range(1, 64)) u(ik) where psd is not null)"""
+      lg as (select ilat, ilon, u.ik - 1 ik, wavenumber[u.ik] k, case when psd[u.ik] >= 0 and psd[u.ik] < 'inf'::double then psd[u.ik] end p from bx, unnest(range(1, 64)) u(ik) where psd is not null)"""
 
 
-ORACLE = tie_free({
+_SQL = {
     "basic_scan": f"with {PX} select obs_id, round(ssh, 6) + 0e0 ssh from (select obs_id, case when ssha_karin_2_qual = 0 then ssha_karin_2 + height_cor_xover + internal_tide_hret end ssh from px) where abs(ssh) < 1e4",
     "expert_scan": f"with {EXP} select obs_id, swh_karin, round(raw_ssh, 6) + 0e0 ssh from ex where swh_karin_qual = 0 and swh_karin <= 5 and abs(raw_ssh) < 1e4",
     "unsmoothed_scan": f"""with {PX}, x as (select * from px where cross_track_distance <> 0), w as (select granule, max(pixel_no) filter (where cross_track_distance < 0) + 1 n from x group by 1)
@@ -248,7 +248,7 @@ ORACLE = tie_free({
         from px where latitude is not null and longitude is not null group by 1, 2)
         select ilat, ilon from c where f <= 0 and not exists (select 1 from c b where b.f > 0 and abs(b.ilat - c.ilat) + abs(b.ilon - c.ilon) <= 2)""",
     "manifest_combine": f"with {SEG} select granule, swath, count(*) n from seg where granule in (select granule from granule_manifest where error is null or trim(error) = '') group by 1, 2",
-    "manifest_missing": f"with {SEG} select distinct granule from granule_manifest where (error is null or trim(error) = '') and granule not in (select granule from seg where month = 4)",
+    "manifest_missing": f"with {SEG} select distinct granule from granule_manifest where (error is null or trim(error) = '') and granule not in (select granule from seg where granule is not null)",
     "month_swath_counts": f"with {SEG} select data_year, month, swath, count(*) n, count(distinct granule) granules from seg group by rollup (data_year, month, swath)",
     "global_counters": """with m as (select granule, max(case when trim(error) <> '' then error end) error, max(n_lines) n from granule_manifest group by 1)
         select count(*) filter (where error is null) used, count(*) filter (where error is not null) skipped, count(*) filter (where error is null and n > 9860) n_valid from m""",
@@ -267,7 +267,7 @@ ORACLE = tie_free({
         select var, {_FIN.format(s='5e0', v='x')} from c where ilat between 0 and 23 and ilon between 0 and 71 group by var, ilat, ilon""",
     "box_mean_psd": f"""with {_boxes('2e0')} select ilat, ilon, (ilat + 5e-1) * 2e0 lat_center, (ilon + 5e-1) * 2e0 lon_center, n_segments, cast(ik as integer) ik, max(k) k, round(avg(p) * 1e4, 6) + 0e0 mean_psd_cm2
         from lg join cnt using (ilat, ilon) group by ilat, ilon, n_segments, ik having count(p) > 0""",
-    "box_sampling_filter": f"""with {_boxes('1e1')}, m as (select max(n_segments) mx from cnt) select ilat, ilon, n_segments, round(n_segments / cast(mx as double), 6) + 0e0 sampling_fraction, cast(ik as integer) ik,
+    "box_sampling_filter": f"""with {_boxes('1e1')}, m as (select max(n_segments) mx from cnt) select ilat, ilon, n_segments, n_segments / cast(mx as double) sampling_fraction, cast(ik as integer) ik,
         round(avg(p) * 1e4, 6) + 0e0 mean_psd_cm2 from lg join cnt using (ilat, ilon), m where n_segments >= 15e-2 * mx group by ilat, ilon, n_segments, mx, ik having count(p) > 0""",
     "box_three_psd": f"""with {_boxes('2e1', 'having count(*) >= 5')} select ilat, ilon, n_segments, cast(ik as integer) ik, round(avg(p * 75e-2) * 1e4, 6) + 0e0 mean_direct, round(avg(p * 25e-2) * 1e4, 6) + 0e0 mean_aliased,
         round(avg(p) * 1e4, 6) + 0e0 mean_total from lg join cnt using (ilat, ilon) group by ilat, ilon, n_segments, ik having count(p) > 0""",
@@ -279,4 +279,6 @@ ORACLE = tie_free({
     "lat_bins_closed": f"with {SEG}, e as (select cast(i as integer) bin, -80e0 + i * 1e1 lo, -70e0 + i * 1e1 hi from range(0, 16) r(i)) select bin, round(avg(valid_fraction), 6) + 0e0 mean, count(*) n from seg join e on lat_mean between lo and hi group by 1",
     "zonal_mean": f"with {SEG}, {GOOD}, b as (select {_BOX.format(b='1e1')}, cast(ik as integer) ik, avg(p) m from good where lat_mean is not null and lon_mean is not null group by 1, 2, 3) select ilat, ik, round(avg(m) * 1e4, 6) + 0e0 mean_cm2, count(*) n_boxes from b group by 1, 2",
     "meridional_mean": f"with {SEG}, {GOOD}, b as (select {_BOX.format(b='1e1')}, cast(ik as integer) ik, avg(p) m from good where lat_mean is not null and lon_mean is not null group by 1, 2, 3) select ilon, ik, round(avg(m) * 1e4, 6) + 0e0 mean_cm2, count(*) n_boxes from b group by 1, 2",
-})
+}
+_WIDE = ("box_mean_psd", "box_sampling_filter", "box_three_psd", "zonal_mean", "meridional_mean")  # values over many powers of ten
+ORACLE = tie_free({name: significant_sql(sql, 10) if name in _WIDE else sql for name, sql in _SQL.items()})

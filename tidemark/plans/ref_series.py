@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import geo
 from tidemark.operators import tracks as t
-from tidemark.plans.common import EXP, LON180, SEG, clean0, heights, segments, table, tie_free
+from tidemark.plans.common import EXP, SEG, clean0, hav_sql, heights, segments, table, tie_free
 
 K = ["granule", "pixel_no"]
 LENGTH, ROWS, TARGETS = 100.0, 64, [-60.0, -30.0, 0.0, 30.0, 60.0]
@@ -169,10 +169,9 @@ def queries():
     }
 
 
-_HAV = "2e0 * 6371.0088e0 * asin(sqrt(least(1e0, pow(sin(radians({b1} - {a1}) / 2), 2) + cos(radians({a1})) * cos(radians({b1})) * pow(sin(radians({b2} - {a2}) / 2), 2))))"
 SER = f"""{EXP}, ser as (select obs_id, granule, pass_no, pixel_no, line_no, latitude lat, longitude - 360e0 * floor(longitude / 360e0) lon, cross_track_distance xt, ssh,
   cast(row_number() over (partition by granule, pixel_no order by line_no) - 1 as integer) idx from hh where latitude is not null and longitude is not null)"""
-KM = f"""{SER}, stp as (select *, coalesce({_HAV.format(a1='lag(lat) over w', a2='lag(lon) over w', b1='lat', b2='lon')}, 0) step from ser window w as (partition by granule, pixel_no order by line_no)),
+KM = f"""{SER}, stp as (select *, coalesce({hav_sql(a1='lag(lat) over w', a2='lag(lon) over w', b1='lat', b2='lon')}, 0) step from ser window w as (partition by granule, pixel_no order by line_no)),
 km as (select * exclude (step), sum(step) over (partition by granule, pixel_no order by line_no) km from stp)"""
 PATCH = "pat as (select label, cast(row_number() over (partition by label order by vec_id) - 1 as integer) \"row\", embedding from embeddings), cells as (select label, \"row\", cast(i - 1 as integer) col, cast(embedding[i] as double) v from pat, range(1, 65) r(i))"
 
@@ -266,7 +265,7 @@ ORACLE = tie_free({
     "resample_zero": _resample("zero"),
     "resample_clamp": _resample("clamp"),
     "nearest_line": f"""with {SER}, {SEG.replace('seg as', 'seg as')}, ln as (select granule, line_no, min(lat) lat, min(lon) lon from ser group by 1, 2),
-      x as (select segment_id, line_no, {_HAV.format(a1='lat_mean', a2='lon_mean', b1='lat', b2='lon')} km from seg join ln using (granule) where lat_mean is not null and lon_mean is not null)
+      x as (select segment_id, line_no, {hav_sql(a1='lat_mean', a2='lon_mean', b1='lat', b2='lon')} km from seg join ln using (granule) where lat_mean is not null and lon_mean is not null)
       select segment_id, arg_min(line_no, (km, line_no)) line_no, round(min(km), 4) + 0e0 km from x group by 1""",
     "rounded_latitude_semi": f"with {SER}, {SEG} select segment_id, lat_mean from seg where lat_mean is not null and exists (select 1 from ser where ser.granule = seg.granule and floor(ser.lat * 1e1 + 5e-1) = floor(lat_mean * 1e1 + 5e-1))",
     "swath_split": f"with {SER} select granule, pixel_no, case when median(xt) < 0 then 'left' when median(xt) > 0 then 'right' end swath, count(*) n from ser group by 1, 2",

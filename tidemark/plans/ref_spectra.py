@@ -11,7 +11,7 @@ from tidemark.functions import dsp
 from tidemark.operators import spectra as sp
 from tidemark.operators import tracks as t
 from tidemark.plans import ref_series, ref_stats
-from tidemark.plans.common import SEG, clean0, segments, table, tie_free
+from tidemark.plans.common import SEG, clean0, segments, significant, significant_sql, table, tie_free
 
 N, ROWS, COLS = 64, 16, 64
 
@@ -70,14 +70,14 @@ def queries():
 
     def predict(s, d):
         x = sp.predict_target(ref_stats.long(s, d), ["segment_id"], "k", "psd", 0.06, 0.124, 2, 5, 2.0)
-        return x.select("segment_id", "k", clean0("predicted").alias("predicted"))
+        return x.select("segment_id", "k", significant("predicted").alias("predicted"))
 
     def rejects(s, d):
         return sp.granule_rejects(table(s, d, "granule_manifest"), ref_stats.long(s, d))
 
     def transfer(s, d):
         x = ref_stats.long(s, d).where("ik > 0").select("segment_id", "ik", "k", "psd")
-        return x.select("segment_id", "ik", clean0(F.col("psd") * dsp.transfer_column(F.col("k"), 9, 2.0)).alias("filtered"))
+        return x.select("segment_id", "ik", significant(F.col("psd") * dsp.transfer_column(F.col("k"), 9, 2.0)).alias("filtered"))
 
     def alias_swath(s, d):
         x = sp.alias_swath(holed(s, d), ["label", "patch"], "row", "col", "v", ROWS, COLS, 0.25, 0.25, (2, 4), 9, 0.3, 0.1)
@@ -157,7 +157,7 @@ _H9 = "(" + " + ".join(f"{float(w)!r} * cos(2 * pi() * 2 * {i} * k)" for i, w in
 _T5 = dsp.hamming(5)
 _H5 = "pow(" + " + ".join(f"{float(w)!r} * cos(4 * pi() * {i} * kf)" for i, w in enumerate(_T5)) + ", 2) + pow(" + " + ".join(f"{float(w)!r} * sin(4 * pi() * {i} * kf)" for i, w in enumerate(_T5)) + ", 2)"
 
-ORACLE = tie_free({
+_SQL = {
     "alias_drop_counters": f"""with e0 as (select label, row_number() over (partition by label order by vec_id) - 1 g, embedding from embeddings), e1 as (select label, g // {ROWS} patch, g % {ROWS} r from e0),
       c as (select label, patch, r, ((r * 7 + j * 13 + patch) % 11 = 0) or (patch % 5 = 1 and r between 4 and 5 + label % 3) gone from e1, range(0, {COLS}) q(j)),
       m as (select label, patch, avg(case when gone then 1e0 else 0e0 end) missing, count(distinct r) n from c group by 1, 2),
@@ -186,5 +186,5 @@ ORACLE = tie_free({
     "transfer_function": f"with {ref_stats.G} select segment_id, ik, round(psd * ({_H9[0]} * {_H9[0]} + {_H9[1]} * {_H9[1]}), 6) + 0e0 filtered from g where ik > 0",
     "rejects": f"""with {ref_stats.G}, m as (select granule, max(case when trim(error) <> '' then error end) error from granule_manifest group by 1)
         select granule, 'read' stage, error from m where error is not null union all select granule, 'spectra', 'no usable segment' from m where error is null and granule not in (select granule from g)""",
-})
-
+}
+ORACLE = tie_free({name: significant_sql(sql) if name in ("predict_psd", "transfer_function") else sql for name, sql in _SQL.items()})

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import spectral_stats as st
 from tidemark.operators.tracks import resample
-from tidemark.plans.common import LONG, SEG, clean0, measured, segments, tie_free
+from tidemark.plans.common import LONG, SEG, clean0, measured, segments, significant, significant_sql, tie_free
 from tidemark.schema import unnest_vectors
 
 BANDS = [(a, b) for a in (0.01, 0.02, 0.05) for b in (0.1, 0.2)]
@@ -20,22 +20,22 @@ def long(s, d):
 def queries():
     seg = ["segment_id"]
 
-    def ready(f, *cols):
+    def ready(f, *cols, digits=8, rounded=significant):
         def q(s, d):
             x = f(long(s, d))
-            return x.select(*[c for c in x.columns if c not in cols], *[clean0(c).alias(c) for c in cols])
+            return x.select(*[c for c in x.columns if c not in cols], *[rounded(c, digits).alias(c) for c in cols])
 
         return q
 
     def pooled(s, d):
-        return st.pooled_sides(st.standard_error(long(s, d), ["month", "swath", "ik"]), ["month", "ik"]).select("month", "ik", clean0("mean").alias("mean"), clean0("error").alias("error"))
+        return st.pooled_sides(st.standard_error(long(s, d), ["month", "swath", "ik"]), ["month", "ik"]).select("month", "ik", significant("mean").alias("mean"), significant("error").alias("error"))
 
     def pass_mean(s, d):
-        return long(s, d).groupBy("granule", "swath", "ik").agg(F.max("k").alias("k"), clean0(F.avg("psd")).alias("mean"), F.count("*").alias("n"))
+        return long(s, d).groupBy("granule", "swath", "ik").agg(F.max("k").alias("k"), significant(F.avg("psd"), 10).alias("mean"), F.count("*").alias("n"))
 
     def mean_of_means(s, d):
         per = long(s, d).groupBy("granule", "swath", "ik").agg(F.avg("psd").alias("m"))
-        return per.groupBy("ik").agg(clean0(F.avg("m")).alias("mean"))
+        return per.groupBy("ik").agg(significant(F.avg("m")).alias("mean"))
 
     def lon_slices(s, d):
         x = long(s, d).where("lon_mean is not null").withColumn("slice", F.when(F.col("lon_mean").between(-60, 0), "west").when(F.col("lon_mean").between(60, 120), "east")).where("slice is not null")
@@ -46,20 +46,20 @@ def queries():
         x = long(s, d).withColumn("aliased", F.col("psd") * F.col("k"))
         a = st.band_energy(x.select("segment_id", "k", F.col("aliased").alias("psd")), seg, 0.02, 0.2).withColumnRenamed("energy", "a")
         b = st.band_energy(x, seg, 0.02, 0.2).withColumnRenamed("energy", "b")
-        return a.join(b, seg).select("segment_id", clean0(F.try_divide(F.col("a"), F.col("a") + F.col("b"))).alias("aliased_fraction"))
+        return a.join(b, seg).select("segment_id", significant(F.try_divide(F.col("a"), F.col("a") + F.col("b"))).alias("aliased_fraction"))
 
     def colour_limits(s, d):
         e = st.band_energy_gradient(long(s, d), seg, 0.01, 0.1)
-        return e.agg(*[clean0(F.percentile("energy", q)).alias(n) for q, n in ((0.05, "low"), (0.95, "high"))])
+        return e.agg(*[significant(F.percentile("energy", q)).alias(n) for q, n in ((0.05, "low"), (0.95, "high"))])
 
     def probe(s, d):
         x = st.at_wavelength(long(s, d), ["segment_id", "swath"], 30.0)
-        return x.groupBy("swath").agg(F.count("*").alias("n"), *[clean0(F.percentile("psd", q)).alias(n) for q, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
+        return x.groupBy("swath").agg(F.count("*").alias("n"), *[significant(F.percentile("psd", q)).alias(n) for q, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
 
     def anisotropy(s, d):
         m = long(s, d).groupBy("granule", "swath", "ik").agg(F.avg("psd").alias("psd"))
         a, b = (m.where(F.col("swath") == w).select("granule", "ik", F.col("psd").alias(w)) for w in ("left", "right"))
-        return a.join(b, ["granule", "ik"]).select("granule", "ik", clean0(F.try_divide(F.col("left"), F.col("right"))).alias("ratio"))
+        return a.join(b, ["granule", "ik"]).select("granule", "ik", significant(F.try_divide(F.col("left"), F.col("right"))).alias("ratio"))
 
     def majority(s, d):
         x = segments(s, d, "psd").where("psd is not null").withColumn("v", F.filter("psd", lambda v: v.isNotNull()))
@@ -70,7 +70,7 @@ def queries():
         f = st.replicas(x.where("k <= 0.124").select("segment_id", "k"), 0.124, 2)
         r = resample(x.select("segment_id", "k", "psd"), f.select("segment_id", F.col("k_fold").alias("k")).distinct(), seg, "k", "psd", "zero")
         j = f.join(r.withColumnRenamed("k", "k_fold"), ["segment_id", "k_fold"])
-        return j.groupBy("segment_id", "k").agg(clean0(F.sum("psd")).alias("predicted"))
+        return j.groupBy("segment_id", "k").agg(significant(F.sum("psd")).alias("predicted"))
 
     return {
         "band_energy_gradient": ready(lambda x: st.band_energy_gradient(x, seg, 0.01, 0.1), "energy"),
@@ -78,12 +78,12 @@ def queries():
         "band_matrix": ready(lambda x: st.band_matrix(x, seg, BANDS), "energy"),
         "energy_ratio": ready(lambda x: st.energy_ratio(x, seg, 0.01, 0.1), "ratio"),
         "energy_beyond": ready(lambda x: st.energy_beyond(x, seg, 0.125), "fraction"),
-        "spectral_slope": ready(lambda x: st.spectral_slope(x, seg, 0.01, 0.1), "slope"),
-        "local_slope": ready(lambda x: st.local_slope(x, seg).select("segment_id", "ik", "local_slope"), "local_slope"),
-        "psd_percentiles": ready(lambda x: st.percentiles(x, ["swath", "ik"], [0.05, 0.25, 0.5, 0.75, 0.95]), "value"),
+        "spectral_slope": ready(lambda x: st.spectral_slope(x, seg, 0.01, 0.1), "slope", digits=6, rounded=clean0),
+        "local_slope": ready(lambda x: st.local_slope(x, seg).select("segment_id", "ik", "local_slope"), "local_slope", digits=6, rounded=clean0),
+        "psd_percentiles": ready(lambda x: st.percentiles(x, ["swath", "ik"], [0.05, 0.25, 0.5, 0.75, 0.95]), "value", digits=10),
         "stderr_tracks": ready(lambda x: st.standard_error(x, ["month", "swath", "ik"]), "mean", "error"),
         "pooled_lr": pooled,
-        "power_law": ready(lambda x: st.power_law(x, seg, [-2.0, -11.0 / 3.0, -5.0]).select("segment_id", clean0("exponent").alias("exponent"), "k", "reference"), "reference"),
+        "power_law": ready(lambda x: st.power_law(x, seg, [-2.0, -11.0 / 3.0, -5.0]).select("segment_id", F.round("exponent", 6).alias("exponent"), "ik", "k", "reference"), "reference"),
         "normalised_spectrum": ready(lambda x: st.normalised(x, seg).select("segment_id", "ik", "normalised"), "normalised"),
         "probe_wavelength": probe,
         "pass_mean": pass_mean,
@@ -98,7 +98,7 @@ def queries():
     }
 
 
-G = f"{SEG}, {LONG}, g as (select segment_id, granule, swath, lat_mean, lon_mean, month, cast(ik as integer) ik, k, p * 1e4 psd from long where p >= 0 and p < 10)"
+G = f"{SEG}, {LONG}, g as (select segment_id, granule, swath, lat_mean, lon_mean, month, cast(ik as integer) ik, k, p * 1e4 psd from long where p >= 0 and p < 'inf'::double)"
 _DK = f"{G}, dk as (select *, case when lead(k) over w is null then k - lag(k) over w when lag(k) over w is null then lead(k) over w - k else (lead(k) over w - lag(k) over w) / 2 end dk from g window w as (partition by segment_id order by k))"
 
 
@@ -106,7 +106,7 @@ def _trap(where, psd="psd"):
     return f"select segment_id, sum(a) energy from (select segment_id, ({psd} + lag({psd}) over w) / 2 * (k - lag(k) over w) a from g where {where} window w as (partition by segment_id order by k)) group by 1"
 
 
-ORACLE = tie_free({
+_SQL = {
     "band_energy_gradient": f"with {_DK} select segment_id, round(sum(psd * dk), 6) + 0e0 energy from dk where k between 0.01 and 0.1 group by 1",
     "band_energy_trapz": f"with {G} select segment_id, round(energy, 6) + 0e0 energy from ({_trap('k between 0.01 and 0.1')})",
     "band_matrix": f"""with {G}, b(lo, hi) as (values {', '.join(f'({a}e0, {b}e0)' for a, b in BANDS)}), x as (select segment_id, lo, hi, (psd + lag(psd) over w) / 2 * (k - lag(k) over w) a from g join b on k between lo and hi
@@ -121,8 +121,9 @@ ORACLE = tie_free({
     "stderr_tracks": f"with {G} select month, swath, ik, round(avg(psd), 6) + 0e0 mean, round(stddev_pop(psd) / sqrt(count(psd)), 6) + 0e0 error from g group by 1, 2, 3",
     "pooled_lr": f"""with {G}, e as (select month, swath, ik, avg(psd) m, stddev_pop(psd) / sqrt(count(psd)) e from g group by 1, 2, 3)
         select a.month, a.ik, round((a.m + b.m) / 2, 6) + 0e0 mean, round(sqrt(a.e * a.e + b.e * b.e) / 2, 6) + 0e0 error from e a join e b on a.swath = 'left' and b.swath = 'right' and a.ik = b.ik and a.month is not distinct from b.month""",
-    "power_law": f"""with {G}, a as (select segment_id, k ak, psd ap from g where ik = 2), e(e) as (values (-2e0), (-11e0 / 3e0), (-5e0))
-        select segment_id, round(e, 6) + 0e0 exponent, k, round(ap * pow(k / ak, e), 6) + 0e0 reference from g join a using (segment_id), e where k > 0""",
+    "power_law": f"""with {G}, a as (select *, max(case when ik = 2 then k end) over w ak, max(case when ik = 2 then psd end) over w ap from g window w as (partition by segment_id)),
+        x as (select *, unnest([-2e0, -11e0 / 3e0, -5e0]) e from a where k > 0 and ak is not null)
+        select segment_id, round(e, 6) exponent, ik, k, round(ap * pow(k / ak, e), 6) + 0e0 reference from x""",
     "normalised_spectrum": f"with {G} select segment_id, ik, round(psd / nullif(last_value(psd) over (partition by segment_id order by k rows between unbounded preceding and unbounded following), 0), 6) + 0e0 normalised from g",
     "probe_wavelength": f"""with {G}, b as (select segment_id, swath, arg_min(psd, (abs(k - 1e0 / 3e1), ik)) psd from g group by 1, 2)
         select swath, count(*) n, round(quantile_cont(psd, 0.25), 6) + 0e0 q25, round(quantile_cont(psd, 0.5), 6) + 0e0 q50, round(quantile_cont(psd, 0.75), 6) + 0e0 q75 from b group by 1""",
@@ -140,4 +141,6 @@ ORACLE = tie_free({
         from f join g using (segment_id) group by 1, 2, 3)
         select segment_id, k, round(sum(case when lo is null or hi is null then 0 when lo[1] = kf then lo[2] else lo[2] + (hi[2] - lo[2]) * (kf - lo[1]) / (hi[1] - lo[1]) end), 6) + 0e0 predicted from br group by 1, 2""",
     "one_sided": f"with {G} select segment_id, ik, round(case when k > 0 and k < max(abs(k)) over (partition by segment_id) then 2 * psd else psd end, 6) + 0e0 psd from g where k >= 0",
-})
+}
+_DIGITS = {"pass_mean": 10, "psd_percentiles": 10, "spectral_slope": 0, "local_slope": 0, "lon_slice_slope": 0}  # 0: slopes are near one
+ORACLE = tie_free({name: significant_sql(sql, d) if (d := _DIGITS.get(name, 8)) else sql for name, sql in _SQL.items()})
