@@ -65,3 +65,29 @@ def test_documents(spark, small):
     total = sum(load.values())
     assert max(load.values()) <= 2048 and len(load) <= -(-total // 2048) + 1
     assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in df.select("doc_id").collect()}
+
+
+def stock(lengths, capacity):
+    return pk._Stock(np.bincount(lengths, minlength=capacity + 1))
+
+
+def test_a_triple_beyond_the_longest_lengths_is_found():
+    a = [401, 402, 404, 405, 410, 411, 413, 414, 428]
+    assert sorted(stock(a + [1000 - 2 * x for x in a] + [310, 340, 350], 1000).complement(1000, [])) == [310, 340, 350]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(1, 30), max_size=9), st.integers(1, 60), st.integers(0, 30))
+def test_complements_are_found_whenever_there_are_any(lengths, gap, held):
+    """Against all combinations of up to three items, one more of them already in the container."""
+    from itertools import combinations
+
+    base = [held] if held in lengths else []
+    free = list(lengths)
+    for n in base:
+        free.remove(n)
+    possible = any(sum(c) == gap for k in (1, 2, 3) for c in combinations(free, k))
+    found = stock(lengths, 60).complement(gap, base)
+    assert (found is not None) == possible
+    if found:
+        assert sum(found) == gap and all(found.count(n) <= free.count(n) for n in found)

@@ -75,3 +75,24 @@ def test_empty(spark):
     s, b = frames(spark, [(1, "g", "left", 0.0, 900.0)], [("g", None, 5.0)])
     assert sp.split_stretches(s.limit(0), b).count() == 0
     assert sp.cut_kinds(s, b.limit(0)).count() == 1
+
+
+def test_kinds_against_the_definition(spark):
+    """Random breaks, many in the first 50 km and between 450 and 500 km, where the walk needs no forced cut."""
+    r = np.random.default_rng(5)
+    segs = [(i, f"g{i}", "left", 0.0, float(r.choice([501.0, 700.0, 905.0, 1400.0]))) for i in range(150)]
+    places = [0.5, 20.0, 49.0, 50.0, 51.0, 300.0, 449.0, 451.0, 470.0, 490.0, 500.0, 502.0, 900.0, 949.0, 955.0]
+    breaks = [(f"g{i}", None, float(k)) for i in range(150) for k in r.choice(places, int(r.integers(0, 5)), replace=False)]
+    got = {x["segment_id"]: x["cut_kind"] for x in sp.cut_kinds(*frames(spark, segs, breaks)).collect()}
+    for i, g, _, a, b in segs:
+        pts = sorted({a, b, *[k for h, _, k in breaks if h == g and a < k < b]})
+        assert got[i] == ("forced" if max(np.diff(pts)) > 450 else "boundary"), pts
+
+
+def test_limits_are_parameters_and_counted(spark):
+    s, b = frames(spark, [(1, "g", "left", 0.0, 900.0), (2, "g", "left", 0.0, 30_000.0), (3, "g", "left", -30.0, 21_000.0)], [])
+    report = {(r.in_metres, r.too_long): r.n for r in sp.stretch_report(s).collect()}
+    assert report == {(False, False): 1, (True, False): 2}
+    assert {r.segment_id for r in sp.cut_kinds(s, b, metres_above=1e9).collect()} == {1}
+    assert {r.segment_id for r in sp.cut_kinds(s, b, metres_above=1e9, longest_km=40_000.0).collect()} == {1, 2, 3}
+    assert {(r.in_metres, r.too_long): r.n for r in sp.stretch_report(s, metres_above=1e9).collect()} == {(False, False): 1, (False, True): 2}

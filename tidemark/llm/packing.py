@@ -42,14 +42,21 @@ class _Stock:
 
     def _refresh(self) -> None:
         here = (self.counts > 0).astype(float)
-        size = 2 * len(here)
+        size = 4 * len(here)
         f = np.fft.rfft(here, size)
-        pairs = np.rint(np.fft.irfft(f * f, size))[: len(here)]
-        # a pair of equal lengths needs two of them
+        pairs, triples = (np.rint(np.fft.irfft(f**k, size))[: len(here)] for k in (2, 3))
+        # what would take more of a length than there are: two of a lone one, three of one or two
         lone = np.flatnonzero(self.counts == 1)
-        lone = lone[2 * lone < len(here)]
-        pairs[2 * lone] -= 1
-        self.single, self.pair = here > 0, pairs > 0
+        twice = np.zeros(len(here))
+        twice[2 * lone[2 * lone < len(here)]] = 1
+        pairs -= twice
+        beside = np.rint(np.fft.irfft(np.fft.rfft(twice, size) * f, size))[: len(here)]
+        thrice = 3 * lone[3 * lone < len(here)]
+        beside[thrice] -= 1
+        triples -= 3 * beside
+        few = np.flatnonzero((self.counts > 0) & (self.counts < 3))
+        triples[3 * few[3 * few < len(here)]] -= 1
+        self.single, self.pair, self.triple = here > 0, pairs > 0, triples > 0
 
     def take(self, lengths: list[int], copies: int) -> None:
         for n in lengths:
@@ -65,17 +72,21 @@ class _Stock:
         return self.copies(lengths) > 0
 
     def complement(self, gap: int, base: list[int]) -> list[int] | None:
-        """One, two or three lengths that fill the gap exactly beside ``base``; longest first."""
+        """One, two or three lengths that fill the gap exactly beside ``base``; longest first. None only
+        if no such lengths are in stock."""
         if self.single[gap] and self.fits(base + [gap]):
             return [gap]
         first = np.flatnonzero(self.single[:gap])
-        for a in first[self.single[gap - first] & (first >= gap - first)][::-1]:
-            if self.fits(base + [int(a), gap - int(a)]):
-                return [int(a), gap - int(a)]
-        for a in first[self.pair[gap - first]][::-1][:8]:
+        if self.pair[gap]:
+            for a in first[self.single[gap - first] & (first >= gap - first)][::-1]:
+                if self.fits(base + [int(a), gap - int(a)]):
+                    return [int(a), gap - int(a)]
+        if not self.triple[gap]:
+            return None
+        for a in first[self.pair[gap - first] & (3 * first >= gap)][::-1]:
             rest = gap - int(a)
-            second = np.flatnonzero(self.single[:rest])
-            for b in second[self.single[rest - second] & (second >= rest - second)][::-1][:8]:
+            second = first[(first < rest) & (first <= a)]
+            for b in second[self.single[rest - second] & (second >= rest - second)][::-1]:
                 if self.fits(base + [int(a), int(b), rest - int(b)]):
                     return [int(a), int(b), rest - int(b)]
         return None

@@ -12,8 +12,8 @@ no walk.  Each round is a shuffle join on (id, position), its result cut into th
 checkpoint folder; no item is ever gathered into one task.
 
 Defined cases: items with an unknown (null, NaN, infinite) end, and items not longer than the
-limit, are no cases; ends in metres (larger than any track in km) and ends in reverse order are put
-right; breaks that are null, outside or exactly at an end do not count; a break without swath
+limit, are no cases; ends in metres (larger than any track in km, a parameter) and ends in reverse
+order are put right; items longer than any track are left out, and counted by ``stretch_report``; breaks that are null, outside or exactly at an end do not count; a break without swath
 applies to both; repeated items and breaks count once; empty tables give an empty result.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import cut
 
-LONGEST_TRACK_KM = 20_100
+LONGEST_TRACK_KM = 20_100.0
 _BIN_M = 500_000
 
 
@@ -34,8 +34,10 @@ def _ok(c: str):
     return F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < 1e300)
 
 
-def long_stretches(segments: DataFrame, limit_km: float = 500.0) -> DataFrame:
-    """(id, granule, swath, s, e): stretches longer than the limit, ends in metres and in order."""
+def measured_stretches(segments: DataFrame, longest_km: float = LONGEST_TRACK_KM, metres_above: float = LONGEST_TRACK_KM) -> DataFrame:
+    """(id, granule, swath, s, e, in_metres, too_long): every stretch with both ends known, in metres
+    and in order. Ends of which one is beyond ``metres_above`` are read as metres, others as km; a
+    stretch longer than ``longest_km`` is too long for any track."""
     x = segments.select(
         F.col("segment_id").alias("id"),
         "granule",
@@ -43,12 +45,24 @@ def long_stretches(segments: DataFrame, limit_km: float = 500.0) -> DataFrame:
         F.col("along_track_distance_start_km").cast("double").alias("a"),
         F.col("along_track_distance_end_km").cast("double").alias("b"),
     ).where(F.col("id").isNotNull() & _ok("a") & _ok("b"))
-    in_metres = F.greatest(F.abs("a"), F.abs("b")) > LONGEST_TRACK_KM
-    m = [F.round(F.when(in_metres, F.col(c)).otherwise(F.col(c) * 1000.0)).cast("long") for c in ("a", "b")]
+    x = x.withColumn("in_metres", F.greatest(F.abs("a"), F.abs("b")) > metres_above)
+    m = [F.round(F.when(F.col("in_metres"), F.col(c)).otherwise(F.col(c) * 1000.0)).cast("long") for c in ("a", "b")]
+    x = x.withColumn("s", F.least(*m)).withColumn("e", F.greatest(*m))
+    return x.withColumn("too_long", F.col("e") - F.col("s") > int(longest_km * 1000)).drop("a", "b")
+
+
+def stretch_report(segments: DataFrame, limit_km: float = 500.0, **rules) -> DataFrame:
+    """(in_metres, too_long, over_limit, n): how the ends were read and what was left out as too long."""
+    x = measured_stretches(segments, **rules).withColumn("over_limit", F.col("e") - F.col("s") > int(limit_km * 1000))
+    return x.groupBy("in_metres", "too_long", "over_limit").agg(F.countDistinct("id").alias("n"))
+
+
+def long_stretches(segments: DataFrame, limit_km: float = 500.0, **rules) -> DataFrame:
+    """(id, granule, swath, s, e): stretches longer than the limit, ends in metres and in order; those
+    too long for any track are left out (``stretch_report`` counts them)."""
     return (
-        x.withColumn("s", F.least(*m))
-        .withColumn("e", F.greatest(*m))
-        .where((F.col("e") - F.col("s") > int(limit_km * 1000)) & (F.col("e") - F.col("s") <= LONGEST_TRACK_KM * 1000))
+        measured_stretches(segments, **rules)
+        .where((F.col("e") - F.col("s") > int(limit_km * 1000)) & ~F.col("too_long"))
         .groupBy("id")
         .agg(F.min(F.struct("granule", "swath", "s", "e")).alias("x"))
         .select("id", "x.*")
@@ -74,10 +88,10 @@ def inner_breaks(stretches: DataFrame, breaks: DataFrame) -> DataFrame:
 
 
 def boundaries(stretches: DataFrame, breaks: DataFrame, limit_km: float = 500.0, overlap_km: float = 50.0) -> DataFrame:
-    """(id, pos, natural, s, e, widest): every place a greedy walk may stand on.
+    """(id, pos, natural, s, e, widest, gap): every place a greedy walk may stand on.
 
-    widest is the largest distance between neighbouring natural points of the item, its ends among
-    them.  The walk starts as if a cut lay one overlap behind the start; breaks it can never use
+    gap is the distance of a natural point from the natural one before it, usable or not; widest is
+    the largest gap of the item.  The walk starts as if a cut lay one overlap behind the start; breaks it can never use
     lie before that.  Where natural points are farther apart than the reach, forced points follow
     each other at the reach.
     """
@@ -98,8 +112,13 @@ def boundaries(stretches: DataFrame, breaks: DataFrame, limit_km: float = 500.0,
         "s",
         "e",
         "widest",
-        F.explode(F.concat(F.array(F.struct("pos", F.lit(True).alias("natural"))), F.transform(steps, lambda p: F.struct(p.alias("pos"), F.lit(False).alias("natural"))))).alias("b"),
-    ).select("id", "s", "e", "widest", "b.pos", "b.natural")
+        F.explode(
+            F.concat(
+                F.array(F.struct("pos", F.lit(True).alias("natural"), "gap")),
+                F.transform(steps, lambda p: F.struct(p.alias("pos"), F.lit(False).alias("natural"), F.lit(None).cast("long").alias("gap"))),
+            )
+        ).alias("b"),
+    ).select("id", "s", "e", "widest", "b.pos", "b.natural", "b.gap")
 
 
 def successors(places: DataFrame, reach: int) -> DataFrame:
@@ -109,15 +128,16 @@ def successors(places: DataFrame, reach: int) -> DataFrame:
     return places.withColumn("succ", F.when(F.col("pos") < F.col("e"), far))
 
 
-def split_stretches(segments: DataFrame, breaks: DataFrame, limit_km: float = 500.0, overlap_km: float = 50.0) -> DataFrame:
-    """(segment_id, piece_no, start_km, end_km, cut_kind, widest_gap_km): all pieces of all long
-    stretches; cut_kind says how the piece ends: boundary, forced or end."""
+def _pieces(segments: DataFrame, breaks: DataFrame, limit_km: float, overlap_km: float, **rules) -> DataFrame:
+    """Pieces with, of each piece's end, the largest gap between natural points up to there."""
     limit, overlap = int(limit_km * 1000), int(overlap_km * 1000)
     reach = limit - overlap
     if overlap < 0 or reach <= 0:
         raise ValueError("the overlap must be shorter than the limit")
-    stretches = long_stretches(segments, limit_km)
-    nodes = cut(successors(boundaries(stretches, breaks, limit_km, overlap_km), reach))
+    stretches = long_stretches(segments, limit_km, **rules)
+    so_far = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    places = boundaries(stretches, breaks, limit_km, overlap_km).withColumn("gap_so_far", F.max("gap").over(so_far))
+    nodes = cut(successors(places, reach))
     jump = nodes.where("succ is not null").select("id", "pos", "succ")
     start = nodes.where(F.col("pos") == F.col("s") + overlap).select("id", "pos")
     # two cuts advance by more than the reach, which bounds the steps of a walk
@@ -145,14 +165,24 @@ def split_stretches(segments: DataFrame, breaks: DataFrame, limit_km: float = 50
             (F.col("pos") / 1000.0).alias("end_km"),
             F.when(F.col("pos") == F.col("e"), "end").when(F.col("natural"), "boundary").otherwise("forced").alias("cut_kind"),
             (F.col("widest") / 1000.0).alias("widest_gap_km"),
+            "gap_so_far",
         )
     )
 
 
-def cut_kinds(segments: DataFrame, breaks: DataFrame, limit_km: float = 500.0, overlap_km: float = 50.0) -> DataFrame:
-    """(segment_id, cut_kind): 'forced' where neighbouring natural points lie farther apart than
-    limit - overlap, else 'boundary'; one row per stretch that was split."""
-    pieces = split_stretches(segments, breaks, limit_km, overlap_km)
-    return pieces.groupBy("segment_id").agg(
-        F.when(F.max("widest_gap_km") > limit_km - overlap_km, "forced").otherwise("boundary").alias("cut_kind")
-    )
+def split_stretches(segments: DataFrame, breaks: DataFrame, limit_km: float = 500.0, overlap_km: float = 50.0, **rules) -> DataFrame:
+    """(segment_id, piece_no, start_km, end_km, cut_kind, widest_gap_km): all pieces of all long
+    stretches; cut_kind says how the piece ends: boundary, forced or end."""
+    return _pieces(segments, breaks, limit_km, overlap_km, **rules).drop("gap_so_far")
+
+
+def cut_kinds(segments: DataFrame, breaks: DataFrame, limit_km: float = 500.0, overlap_km: float = 50.0, **rules) -> DataFrame:
+    """(segment_id, cut_kind), one row per stretch that was split: 'forced' where the pieces hold a
+    forced cut, else 'boundary'.
+
+    A gap wider than limit - overlap forces a cut wherever the walk meets it, but for one case that
+    counts as forced all the same: it lies within the first piece, which has no overlap before it.
+    """
+    early = (F.col("piece_no") == 0) & (F.coalesce("gap_so_far", F.lit(0)) > int((limit_km - overlap_km) * 1000))
+    pieces = _pieces(segments, breaks, limit_km, overlap_km, **rules)
+    return pieces.groupBy("segment_id").agg(F.when(F.max((F.col("cut_kind") == "forced") | early), "forced").otherwise("boundary").alias("cut_kind"))
