@@ -6,7 +6,7 @@ final aggregate, so what is shuffled has the size of the grid, not of the data.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -71,7 +71,7 @@ def box_keys(df: DataFrame, lat: str, lon: str, box: float) -> DataFrame:
 
 
 def sampling_filter(boxes: DataFrame, fraction: float, n: str = "n_segments") -> DataFrame:
-    """Boxes with at least ``fraction`` of the fullest box's count, and that share.
+    """Rows of boxes with at least ``fraction`` of the fullest box's count, and that share.
 
     The fullest count comes from all boxes before any is dropped; it is one row.
     """
@@ -83,20 +83,24 @@ def box_mean_spectra(segments: DataFrame, lat: str, lon: str, k: str, psds: list
     """(ilat, ilon, lat_center, lon_center, n_segments, ik, k, mean_<psd>): mean spectra of boxes.
 
     The count is of segments, whether or not a value is missing; the mean per wavenumber skips
-    missing values.  ``fraction`` and ``min_count`` filter boxes by their count.
+    missing values.  ``fraction`` and ``min_count`` filter boxes by their count.  Counts come from
+    the same aggregation as the means: a segment's first value, or its one row if it has none,
+    stands for it.
     """
-    keyed = box_keys(segments, lat, lon, box)
-    counts = keyed.groupBy("ilat", "ilon").agg(F.count("*").alias("n_segments"))
-    if fraction is not None:
-        counts = sampling_filter(counts, fraction)
-    if min_count is not None:
-        counts = counts.where(F.col("n_segments") >= min_count)
     zipped = F.arrays_zip(F.col(k).alias("k"), *[F.col(p).alias(p) for p in psds])
-    long = keyed.select("ilat", "ilon", F.posexplode(zipped).alias("ik", "z"))
-    means = long.groupBy("ilat", "ilon", "ik").agg(
-        F.max("z.k").alias("k"), *[F.avg(F.when(~F.isnan(f"z.{p}"), F.col(f"z.{p}").cast("double"))).alias(f"mean_{p}") for p in psds]
+    long = box_keys(segments, lat, lon, box).select("ilat", "ilon", F.posexplode_outer(zipped).alias("ik", "z"))
+    whole = F.coalesce("ik", F.lit(0))
+    means = long.groupBy("ilat", "ilon", whole.alias("ik")).agg(
+        F.count("*").alias("_n"), F.count("ik").alias("_values"), F.max("z.k").alias("k"), *[F.avg(F.when(~F.isnan(f"z.{p}"), F.col(f"z.{p}").cast("double"))).alias(f"mean_{p}") for p in psds]
     )
-    return means.join(counts, ["ilat", "ilon"]).withColumn("lat_center", (F.col("ilat") + 0.5) * box).withColumn("lon_center", (F.col("ilon") + 0.5) * box)
+    # every segment has exactly one row of index 0
+    counts = F.max(F.when(F.col("ik") == 0, F.col("_n"))).over(Window.partitionBy("ilat", "ilon"))
+    boxes = means.withColumn("n_segments", counts).where("_values > 0").drop("_n", "_values")
+    if fraction is not None:
+        boxes = sampling_filter(boxes, fraction)
+    if min_count is not None:
+        boxes = boxes.where(F.col("n_segments") >= min_count)
+    return boxes.withColumn("lat_center", (F.col("ilat") + 0.5) * box).withColumn("lon_center", (F.col("ilon") + 0.5) * box)
 
 
 def box_mean_scalar(df: DataFrame, lat: str, lon: str, value: str, box: float = 2.0) -> DataFrame:

@@ -63,14 +63,41 @@ def local_slope(long: DataFrame, keys: list[str]) -> DataFrame:
     return gradient(d, keys, "lk", F.log("psd"), "local_slope").drop("lk")
 
 
-def percentiles(long: DataFrame, keys: list[str], qs: list[float]) -> DataFrame:
+def percentiles(df: DataFrame, keys: list[str], qs: list[float], value: str = "psd") -> DataFrame:
     """(keys, q, value): exact percentiles with linear interpolation, missing values left out.
 
-    Exact percentiles keep a group's distinct values in one task; for groups without bound use
-    mergeable sketches instead.
+    No group is gathered: values are counted in buckets of about one per cent of their size, whose
+    running counts name the few buckets that hold the wanted ranks; only values of these are sorted.
     """
-    p = long.groupBy(*keys).agg(F.percentile("psd", F.array(*[F.lit(q) for q in qs])).alias("v"))
-    return p.select(*keys, F.explode(F.arrays_zip(F.array(*[F.lit(q) for q in qs]).alias("q"), F.col("v"))).alias("z")).select(*keys, F.col("z.q").alias("q"), F.col("z.v").alias("value"))
+    v = F.col(value)
+    x = df.where(v.isNotNull() & ~F.isnan(v)).select(*[F.col(c).alias(f"_{c}") for c in keys], v.cast("double").alias("_v"))
+    ks = [f"_{c}" for c in keys] or ["_all"]
+    x = x if keys else x.withColumn("_all", F.lit(0))
+    # buckets ascend with the value: negative numbers mirrored, zeros in one of their own
+    size = F.floor(F.log2(F.abs("_v")) * 64) + (1 << 20)
+    x = x.withColumn("_b", F.when(F.col("_v") > 0, size).when(F.col("_v") < 0, -size).otherwise(F.lit(0).cast("long")))
+    counts = x.groupBy(*ks, "_b").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*ks).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    c = counts.withColumn("_to", F.sum("_n").over(w)).withColumn("_all_n", F.sum("_n").over(Window.partitionBy(*ks)))
+    at = F.col("q") * (F.col("_all_n") - 1)
+    wanted = c.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs]))).withColumn("_at", at)
+    wanted = wanted.withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at"))))).where("_rank < _to and _rank >= _to - _n")
+    wanted = wanted.select(*[F.col(k).alias(f"{k}_") for k in ks], F.col("_b").alias("_b_"), "q", "_at", "_rank", (F.col("_to") - F.col("_n")).alias("_before"))
+    same = F.col("_b") == F.col("_b_")
+    for k in ks:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_"))
+    held = x.join(wanted.select(*[f"{k}_" for k in ks], "_b_", "_before").distinct(), same).groupBy(*ks, "_b", "_before", "_v").agg(F.count("*").alias("_n"))
+    held = held.withColumn("_end", F.col("_before") + F.sum("_n").over(Window.partitionBy(*ks, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
+    found = held.join(wanted.drop("_before"), same).where("_rank < _end and _rank >= _end - _n")
+    lo, hi = F.min("_v"), F.max("_v")
+    out = found.groupBy(*ks, "q", "_at").agg((lo + (hi - lo) * (F.col("_at") - F.floor("_at"))).alias("value"))
+    return out.select(*[F.col(f"_{c}").alias(c) for c in keys], "q", "value")
+
+
+def percentile_row(df: DataFrame, keys: list[str], qs: dict[str, float], value: str) -> DataFrame:
+    """(keys, one column per name of ``qs``): the percentiles side by side."""
+    p = percentiles(df, keys, sorted(set(qs.values())), value)
+    return p.groupBy(*keys).agg(*[F.max(F.when(F.col("q") == q, F.col("value"))).alias(n) for n, q in qs.items()])
 
 
 def standard_error(long: DataFrame, keys: list[str]) -> DataFrame:

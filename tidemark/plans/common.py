@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.schema import null_nan
+from tidemark.functions.geo import lon_180
+from tidemark.operators import repeats
+from tidemark.schema import null_nan, nulls_for_nans
 from tidemark.sources import granules
 
 PIXEL_COLUMNS = [
@@ -23,18 +25,31 @@ def pixels(spark: SparkSession, d: str, columns: list[str] | None = None) -> Dat
     return granules.read_pixels(spark, f"{d}/swot_pixels.parquet", columns or PIXEL_COLUMNS)
 
 
+def _screened(df: DataFrame) -> DataFrame:
+    return df.withColumn("ssh", F.when(F.abs("ssh") < 2.5, F.col("ssh")))
+
+
 def heights(spark: SparkSession, d: str, other: list[str] | None = None) -> DataFrame:
-    """Expert scan of the pixel table with implausible heights screened out."""
-    return granules.expert_scan(pixels(spark, d), other=other).withColumn("ssh", F.when(F.abs("ssh") < 2.5, F.col("ssh")))
+    """Expert scan of the pixel table with implausible heights screened out, rows brought together by
+    series."""
+    raw = nulls_for_nans(table(spark, d, "swot_pixels").select(*PIXEL_COLUMNS))
+    return granules.by_series(_screened(granules.expert_scan(raw, other=other)))
+
+
+def points(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """(obs_id, latitude, longitude, lon, ssh, columns): heights for operators that need no series; rows stay
+    where they are read, only repeats move."""
+    raw = nulls_for_nans(table(spark, d, "swot_pixels").select(*PIXEL_COLUMNS))
+    x = _screened(granules.expert_scan(raw)).select("obs_id", "latitude", "longitude", lon_180(F.col("longitude")).alias("lon"), "ssh", *columns)
+    return repeats.distinct_rows(x, "obs_id", table(spark, d, "swot_pixels"))
 
 
 def segments(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     """Segments once each, positions with NaN as NULL, longitudes in [-180, 180)."""
     keep = ["segment_id", "granule", "run_id", "swath", "lat_mean", "lon_mean", "month", "data_year", *columns]
-    df = table(spark, d, "segment_spectra").select(*dict.fromkeys(keep), "processed_at")
-    once = df.groupBy("segment_id").agg(F.max(F.struct("processed_at", *[c for c in dict.fromkeys(keep) if c != "segment_id"])).alias("s")).select("segment_id", "s.*")
+    once = repeats.latest(table(spark, d, "segment_spectra").select(*dict.fromkeys(keep), "processed_at"), "segment_id", "processed_at")
     lon = F.pmod(F.col("lon_mean") + 180.0, F.lit(360.0)) - 180.0
-    return once.drop("processed_at").withColumn("swath", F.lower(F.trim("swath"))).withColumn("lat_mean", null_nan("lat_mean")).withColumn("lon_mean", null_nan(lon))
+    return once.withColumn("swath", F.lower(F.trim("swath"))).withColumn("lat_mean", null_nan("lat_mean")).withColumn("lon_mean", null_nan(lon))
 
 
 def measured(c) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import geo
 from tidemark.operators import gridding as g
-from tidemark.plans.common import EXP, LON180, LONG, PX, SEG, clean0, hav_sql, heights, measured, pixels, segments, significant, significant_sql, table, tie_free
+from tidemark.plans.common import EXP, LON180, LONG, PX, SEG, clean0, hav_sql, measured, pixels, points, segments, significant, significant_sql, table, tie_free
 from tidemark.sources import granules as src
 
 _KEYS = ["obs_id", "granule", "line_no", "pixel_no"]
@@ -29,27 +29,25 @@ GOOD = f"{LONG}, good as (select * from long where p >= 0 and p < 'inf'::double)
 
 def queries():
     def grid(s, d, **kw):
-        h = heights(s, d).withColumn("lon", geo.lon_180(F.col("longitude")))
-        return g.grid_accumulate(h, "latitude", "lon", "ssh", 1.0, **kw)
+        return g.grid_accumulate(points(s, d), "latitude", "lon", "ssh", 1.0, **kw)
 
     def finish(df, *keep):
         return df.select(*keep, "ilat", "ilon", "lat_center", "lon_center", clean0("mean").alias("mean"), "nobs")
 
     def partials(s, d):
-        h = heights(s, d).withColumn("lon", geo.lon_180(F.col("longitude")))
-        by_run = g.grid_accumulate(h, "latitude", "lon", "ssh", 1.0, keys=("run_id",))
-        even, odd = by_run.where("run_id % 2 = 0").drop("run_id"), by_run.where("run_id % 2 = 1").drop("run_id")
-        return finish(g.grid_finish(g.grid_merge(even, odd), 1.0))
+        """Accumulators of the runs, kept apart as files or days would be, and merged."""
+        by_run = g.grid_accumulate(points(s, d, "run_id"), "latitude", "lon", "ssh", 1.0, keys=("run_id",))
+        return finish(g.grid_finish(g.grid_merge(by_run.drop("run_id")), 1.0))
 
     def mean_square(s, d):
         return g.grid_finish(grid(s, d, squares=True), 1.0).select("ilat", "ilon", clean0("mean_sq").alias("mean_sq"), "nobs")
 
     def densified(s, d):
-        x = g.grid_densify(g.grid_accumulate(heights(s, d).withColumn("lon", geo.lon_180(F.col("longitude"))), "latitude", "lon", "ssh", 5.0), 24, 72)
+        x = g.grid_densify(g.grid_accumulate(points(s, d), "latitude", "lon", "ssh", 5.0), 24, 72)
         return g.grid_finish(x, 5.0).select("ilat", "ilon", "lat_center", "lon_center", clean0("mean").alias("mean"), "nobs")
 
     def anomaly(s, d):
-        h = heights(s, d).where("ssh is not null").withColumn("lon", geo.lon_180(F.col("longitude")))
+        h = points(s, d).where("ssh is not null")
         acc = g.grid_accumulate(h, "latitude", "lon", "ssh", 1.0)
         x = h.withColumn("ilat", g.cell(F.col("latitude"), -60.0, 1.0)).withColumn("ilon", g.cell(F.col("lon"), -180.0, 1.0))
         return x.join(acc, ["ilat", "ilon"]).select("obs_id", clean0(F.col("ssh") - F.col("total") / F.col("n")).alias("anomaly"))
@@ -140,7 +138,7 @@ def queries():
         return x.where(F.col("lat_mean").between(-40, 40) & F.col("lon_mean").between(-60, 120)).select("segment_id", "swath", "month")
 
     def zoom(s, d):
-        h = heights(s, d).withColumn("lon", geo.lon_180(F.col("longitude"))).where("latitude between -30 and 30 and lon between -90 and 90 and ssh is not null")
+        h = points(s, d).where("latitude between -30 and 30 and lon between -90 and 90 and ssh is not null")
         return h.select("obs_id", clean0("lon").alias("lon"), clean0("ssh").alias("ssh"))
 
     def manifest(s, d):

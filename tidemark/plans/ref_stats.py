@@ -49,12 +49,13 @@ def queries():
         return a.join(b, seg).select("segment_id", significant(F.try_divide(F.col("a"), F.col("a") + F.col("b"))).alias("aliased_fraction"))
 
     def colour_limits(s, d):
-        e = st.band_energy_gradient(long(s, d), seg, 0.01, 0.1)
-        return e.agg(*[significant(F.percentile("energy", q)).alias(n) for q, n in ((0.05, "low"), (0.95, "high"))])
+        e = st.percentile_row(st.band_energy_gradient(long(s, d), seg, 0.01, 0.1), [], {"low": 0.05, "high": 0.95}, "energy")
+        return e.select(*[significant(c).alias(c) for c in ("low", "high")])
 
     def probe(s, d):
         x = st.at_wavelength(long(s, d), ["segment_id", "swath"], 30.0)
-        return x.groupBy("swath").agg(F.count("*").alias("n"), *[significant(F.percentile("psd", q)).alias(n) for q, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
+        q = st.percentile_row(x, ["swath"], {"q25": 0.25, "q50": 0.5, "q75": 0.75}, "psd")
+        return q.join(x.groupBy("swath").agg(F.count("*").alias("n")), "swath").select("swath", "n", *[significant(c).alias(c) for c in ("q25", "q50", "q75")])
 
     def anisotropy(s, d):
         m = long(s, d).groupBy("granule", "swath", "ik").agg(F.avg("psd").alias("psd"))

@@ -30,7 +30,12 @@ def read_pixels(spark: SparkSession, path: str, columns: list[str] | None = None
     df = spark.read.parquet(path)
     keep = columns or [c for c in df.columns if c != "received_at"]
     rows = nulls_for_nans(df.select(*keep))
-    series = [c for c in ("granule", "pixel_no") if c in keep]
+    return by_series(rows)
+
+
+def by_series(rows: DataFrame) -> DataFrame:
+    """Distinct rows, brought together by series (granule and pixel column)."""
+    series = [c for c in ("granule", "pixel_no") if c in rows.columns]
     return (rows.repartition(*series) if series else rows).distinct()
 
 
