@@ -6,7 +6,8 @@ every second value moves up; so the rank error at a quantile is a fraction of th
 beyond it in the protected tail.  Two sketches of a group, one per tail, answer the quantiles on
 their own side.  Sketches of partitions, days or months merge level by level.
 
-Physical plan: repeated rows collapse by aggregation; each partition sketches its groups in numpy
+Physical plan: repeated rows are found by their ids and only these collapse in a shuffle, all others
+are sketched where they are read; each partition sketches its groups in numpy
 over whole Arrow batches (map-side combine); only sketches are shuffled and merged, in two rounds
 with salted keys, so no task receives more than about ``FAN_IN`` sketches of a group.  What a task
 holds is bounded: it emits and forgets its sketches beyond ``HELD_VALUES`` retained values.
@@ -27,6 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.repeats import latest
 from tidemark.session import cut
 
 SECTION = 128  # values per section; the error is about half of 1 / SECTION of the tail
@@ -233,8 +235,7 @@ def spectrum_groups(segments: DataFrame) -> DataFrame:
     once = segments.select(
         "segment_id", "processed_at", "psd", F.lower(F.trim("swath")).alias("swath"), F.col("lat_mean").cast("double").alias("lat"), F.col("month").cast("int").alias("month")
     ).where("segment_id is not null")
-    latest = once.groupBy("segment_id").agg(F.max(F.struct("processed_at", "month", "lat", "swath", "psd")).alias("s")).select("s.*")
-    return latest.where("swath in ('left', 'right') and lat between -90 and 90").select(
+    return latest(once.select("segment_id", "processed_at", "month", "lat", "swath", "psd"), "segment_id", "processed_at").where("swath in ('left', 'right') and lat between -90 and 90").select(
         "swath", F.least(F.floor(F.col("lat") / 10) * 10, F.lit(80)).cast("int").alias("lat_band"), "month", "psd"
     )
 
