@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": lambda s, d: schema_drift.drift_log(_t(s, d, "raw_records"), _t(s, d, "granule_manifest")),
         "p1_union_table": lambda s, d: schema_drift.to_union_table(_t(s, d, "raw_records")),
+        "p1_rescaled": lambda s, d: schema_drift.rescale_log(_t(s, d, "raw_records"), _t(s, d, "granule_manifest")),
         "p2_found": lambda s, d: spike_hmm.implausible(_t(s, d, "swot_pixels"), _t(s, d, "qual_flags")),
         "p5_found": lambda s, d: spatial.segments_near(_t(s, d, "segment_spectra"), _t(s, d, "reference_sites")),
     }
