@@ -43,6 +43,7 @@ BIGRAM_BUCKETS = 1 << 14
 # What a chain loses of its gain for each unit of log-likelihood that it is behind the likeliest.
 PRIOR = 1.0
 WORD_CACHE = 200_000
+GATHER = 20_000  # characters scored at once
 
 _SINGLE = ("cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1251", "cp1250", "koi8_r")
 _RIGHT = ("cp1252", "cp1250", "cp1251", "cp1254", "mac_roman", "cp850", "cp866", "koi8_r", "iso8859_2", "gbk", "euc_jp", "cp932")
@@ -150,6 +151,13 @@ _COMMON = re.compile(
 )
 
 
+@lru_cache(maxsize=64)
+def _seen_utf8(wrong: str) -> re.Pattern:
+    """A lead byte of UTF-8 and a byte that goes on from it, as ``wrong`` shows them."""
+    table = _table(wrong)[0]
+    return re.compile(f"[{re.escape(table[0xC2:0xF5])}][{re.escape(table[0x80:0xC0])}]")
+
+
 def _utf8_inside(text: str) -> bool:
     """Some characters read strictly as common ones of UTF-8 through a single-byte encoding."""
     # a character of UTF-8 shows as two or more characters beyond ASCII side by side
@@ -157,6 +165,8 @@ def _utf8_inside(text: str) -> bool:
     if not text:
         return False
     for w in ("cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1251", "cp1250"):
+        if not _seen_utf8(w).search(text):
+            continue
         for m in _UTF8_CHAR.finditer(text.translate(_as_bytes(w))):
             try:
                 if _COMMON.match(m.group().encode("latin-1").decode("utf-8")):
@@ -182,6 +192,17 @@ def _byte_bigrams(text: str) -> np.ndarray:
     return ((a * 251 + c) * 0x9E3779B1 >> 7)[(a | c) >= 128] % BIGRAM_BUCKETS
 
 
+def _byte_bigrams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Bigrams of texts that are not all ASCII, one after the other, and where each text's begin."""
+    raw = [f" {t} ".encode("utf-8", "surrogatepass") for t in texts]
+    b = np.frombuffer(b"".join(raw), dtype=np.uint8).astype(np.int64)
+    a, c = b[:-1], b[1:]
+    keep = (a | c) >= 128  # never across two texts: these meet in two spaces
+    n = np.cumsum(keep)
+    starts = np.cumsum([0] + [len(r) for r in raw[:-1]])
+    return (((a * 251 + c) * 0x9E3779B1 >> 7) % BIGRAM_BUCKETS)[keep], np.r_[0, n][starts]
+
+
 def _count_clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     pair, char = np.zeros(PAIR_BUCKETS, np.int64), np.zeros(CHAR_BUCKETS, np.int64)
     for b in batches:
@@ -197,17 +218,19 @@ def _count_clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _count_garbled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    counts = np.zeros((len(CHAINS), BIGRAM_BUCKETS), np.int64)
+    counts = np.zeros((len(CHAINS) + 1, BIGRAM_BUCKETS), np.int64)  # the last class is intact text
     for b in batches:
         texts = [t for t in b["text"] if t and not t.isascii() and not _LOST.search(t) and not _utf8_inside(t)]
         for k in range(0, len(texts), 200):
             sentences = [s for t in texts[k : k + 200] for s in _SENTENCE.split(t) if not s.isascii()]
+            if sentences:
+                counts[-1] += np.bincount(_byte_bigrams(" " + "  ".join(sentences) + " "), minlength=BIGRAM_BUCKETS)
             for i, chain in enumerate(CHAINS):
                 made = [g for s in sentences if (g := garble(s, chain)) is not None and g != s]
                 if made:
                     # spaces between the sentences: no bigram beyond ASCII reaches across
                     counts[i] += np.bincount(_byte_bigrams(" " + "  ".join(made) + " "), minlength=BIGRAM_BUCKETS)
-    for i in range(len(CHAINS)):
+    for i in range(len(CHAINS) + 1):
         at = np.flatnonzero(counts[i])
         yield pd.DataFrame({"kind": str(i), "bucket": at, "n": counts[i][at]})
 
@@ -224,68 +247,123 @@ class Models:
 
         self.pair = vector("pair", PAIR_BUCKETS)
         self.char = vector("char", CHAR_BUCKETS)
-        bigrams = np.stack([vector(str(i), BIGRAM_BUCKETS) for i in range(len(CHAINS))])
+        bigrams = np.stack([vector(str(i), BIGRAM_BUCKETS) for i in range(len(CHAINS) + 1)])
         total = bigrams.sum(axis=1, keepdims=True)
         self.chain = np.log((bigrams + 0.05) / (total + 0.05 * BIGRAM_BUCKETS)).astype(np.float32).T.copy()
         self.known = total[:, 0] > 0
         self.char_total = self.char.sum()
+        self._rares: dict[str, bool] = {}
 
     def usual(self, text: str) -> float:
         """Log-probability of a text's neighbours, spaces at both ends."""
-        x = _points(f" {text} ")
+        return float(self.usual_of([text])[0][0])
+
+    def usual_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of every text: its log-probability, the part of it that pairs with a character beyond ASCII
+        have, and whether some character is no commoner than one in ten million."""
+        x = _points(f" {' '.join(texts)} ")
+        size = np.array([len(t) + 1 for t in texts])  # a text's pairs begin at the space before it
+        at = np.cumsum(size) - size
         p = (self.char[x[1:] % CHAR_BUCKETS] + 0.02) / (self.char_total + 0.02 * CHAR_BUCKETS)
-        weight = 1.0
-        return float(np.log((self.pair[_pairs(x)] + weight * p) / (self.char[x[:-1] % CHAR_BUCKETS] + weight)).sum())
-
-    def strange(self, text: str, beside: str = "") -> bool:
-        """Some character is no commoner than one in ten million; with ``beside``, one below the
-        scripts of East Asia and the pictographs that is not in it."""
-        x = _points(text)
-        x = x[(x >= 128) & (x < 0x3000)] if beside else x[x >= 128]
-        odd = x[self.char[x % CHAR_BUCKETS] <= self.char_total * 1e-7]
-        return len(odd) > 0 and (not beside or any(chr(c) not in beside for c in odd))
-
-    def chains(self, text: str) -> list[tuple[tuple[str, str], float]]:
-        """All known chains, the likeliest for a piece of text first, with how far each one's
-        log-likelihood is behind the first's."""
-        score = self.chain[_byte_bigrams(f" {text} ")].sum(axis=0)
-        order = [i for i in np.argsort(-score, kind="stable") if self.known[i]]
-        return [(CHAINS[i], float(score[order[0]] - score[i])) for i in order]
-
-
-def _margin(models: Models, chain: tuple[str, str], text: str) -> float:
+        pair = np.log((self.pair[_pairs(x)] + p) / (self.char[x[:-1] % CHAR_BUCKETS] + 1.0))
+        beyond = (x[:-1] >= 128) | (x[1:] >= 128)
+        odd = (x[:-1] >= 128) & (self.char[x[:-1] % CHAR_BUCKETS] <= self.char_total * 1e-7)
+        return np.add.reduceat(pair, at), np.add.reduceat(np.where(beyond, pair, 0.0), at), np.logical_or.reduceat(odd, at)
+
+    def _rare(self, c: str) -> bool:
+        if c not in self._rares:
+            self._rares[c] = bool(self.char[ord(c) % CHAR_BUCKETS] <= self.char_total * 1e-7)
+        return self._rares[c]
+
+    def strange(self, text: str, beside: str) -> bool:
+        """Some character below the scripts of East Asia and the pictographs, not in ``beside``, is no
+        commoner than one in ten million."""
+        return any("\x80" <= c < "\u3000" and c not in beside and self._rare(c) for c in text)
+
+    def behind(self, texts: list[str]) -> np.ndarray:
+        """(texts, chains): how far each chain's log-likelihood is behind that of the likeliest class,
+        intact text among them; infinite for chains the classifier has never seen."""
+        out = np.empty((len(texts), len(CHAINS)))
+        i = 0
+        while i < len(texts):
+            n, size = i, 0
+            while n < len(texts) and (n == i or size < GATHER):
+                size += len(texts[n])
+                n += 1
+            bigrams, at = _byte_bigrams_of(texts[i:n])
+            score = np.add.reduceat(self.chain[bigrams], at, axis=0)
+            out[i:n] = score[:, self.known].max(axis=1, keepdims=True) - score[:, :-1]
+            i = n
+        out[:, ~self.known[:-1]] = np.inf
+        return out
+
+
+def _margin(chain: tuple[str, str], text: str, odd: bool) -> float:
     """Gain that an inversion must bring. Reading as UTF-8 seldom succeeds by chance; of other
     chains less is asked where the text mixes scripts within a word or holds a character that
     undamaged texts hardly know, and more where a single character speaks."""
     if chain[1] == "utf-8":
         return 4.0
-    if _MIXED.search(text) or models.strange(text):
+    if odd:
         return 5.0
     return 9.0 if sum(not c.isascii() for c in text) > 1 else 12.0
 
 
-def _inversions(models: Models, text: str) -> dict[tuple[str, str], tuple[float, str]]:
-    """What every chain that can have made a piece gives back, with the gain each brings less
-    ``PRIOR`` of what the classifier holds against it (reading as UTF-8 seldom succeeds by chance and
-    loses nothing); sane results only, the likeliest first."""
-    here = models.usual(text)
-    lost, mixed = _LOST.search(text), _MIXED.search(text)
-    out = {}
-    usual: dict[str, float | None] = {}  # many chains give the same back; None where it is not sane
-    for chain, behind in models.chains(text):
-        r = restore(text, chain)
-        if r is None and chain[1] == "utf-8" and not _multibyte(chain[0]):
-            r = restore_parts(text, chain[0])
-        if r is None:
-            continue
-        if r not in usual:
-            sane = not (_LOST.search(r) and not lost or models.strange(r, text) or _MIXED.search(r) and not mixed)
-            usual[r] = models.usual(r) if sane else None
-        if usual[r] is not None:
-            out[chain] = (usual[r] - here - (0.0 if chain[1] == "utf-8" else PRIOR * behind), r)
+_WRONG = tuple(dict.fromkeys(c[0] for c in CHAINS if not _multibyte(c[0])))
+_CHARSET = {w: frozenset(_table(w)[0]) for w in _WRONG}
+_TO_UTF8 = np.array([c[1] == "utf-8" for c in CHAINS])
+_REGROUPS = np.array([_multibyte(c[0]) or _multibyte(c[1]) for c in CHAINS])
+
+
+def _inversions_of(models: Models, words: list[str]) -> list[tuple[bool, dict[tuple[str, str], tuple[float, str]]]]:
+    """For every word, whether it is odd as it stands, and what every chain that can have made it
+    gives back, with the gain each brings less ``PRIOR`` of what the classifier holds against the
+    chain (reading as UTF-8 seldom succeeds by chance and loses nothing); sane results only.
+
+    A chain is not inverted where its gain could not even outweigh a word that speaks against it:
+    only pairs with a character beyond ASCII can gain, and none more than their own log-probability.
+    """
+    here, beyond, odd = models.usual_of(words)
+    behind = models.behind(words)
+    most = -np.where(_REGROUPS, here[:, None], beyond[:, None]) - np.where(_TO_UTF8, 0.0, PRIOR * behind)
+    tried = (most >= 0.0) & np.isfinite(behind)
+    made: list[list[tuple[int, str]]] = []
+    texts: dict[str, int] = {}  # many chains give the same back
+    for word, row in zip(words, tried):
+        beyond_ascii = {c for c in word if c > "\x7f"}
+        shows = {w for w in _WRONG if beyond_ascii <= _CHARSET[w]}  # encodings the whole word can have been read in
+        holds = {w for w in _WRONG if _seen_utf8(w).search(word)} if _BESIDE.search(word) else set()
+        found = []
+        for j in np.flatnonzero(row):
+            chain = CHAINS[j]
+            w, r = chain[0], None
+            if _REGROUPS[j] and w not in _CHARSET or w in (holds & shows if _TO_UTF8[j] else shows):
+                r = restore(word, chain)
+            if r is None and _TO_UTF8[j] and w in holds:
+                r = restore_parts(word, w)
+            if r is not None:
+                found.append((int(j), r))
+                texts.setdefault(r, len(texts))
+        made.append(found)
+    usual, strange = (models.usual_of(list(texts))[i] for i in (0, 2)) if texts else (np.empty(0), np.empty(0, bool))
+    out = []
+    for i, (word, found) in enumerate(zip(words, made)):
+        lost, mixed = _LOST.search(word), bool(_MIXED.search(word))
+        options, sane = {}, {}
+        for j, r in found:
+            k = texts[r]
+            if k not in sane:
+                sane[k] = not (_LOST.search(r) and not lost or strange[k] and models.strange(r, word) or not mixed and _MIXED.search(r))
+            if sane[k]:
+                options[CHAINS[j]] = (float(usual[k] - here[i]) - (0.0 if _TO_UTF8[j] else PRIOR * float(behind[i, j])), r)
+        out.append((mixed or bool(odd[i]), options))
     return out
 
 
+def _inversions(models: Models, text: str) -> dict[tuple[str, str], tuple[float, str]]:
+    return _inversions_of(models, [text])[0][1]
+
+
 def _name(chain: tuple[str, str]) -> str:
     return f"{chain[1]}>{chain[0]}"
 
@@ -293,23 +371,38 @@ def _name(chain: tuple[str, str]) -> str:
 class _Word:
     """What is known of a word: what repairing it alone gives, and its inversions."""
 
-    __slots__ = ("fixed", "chain", "gain", "options", "strange")
-
-    def __init__(self, models: Models, word: str):
-        self.options = _inversions(models, word)
-        self.strange = bool(_MIXED.search(word)) or models.strange(word)
-        text, options, steps, self.gain = word, self.options, [], 0.0
-        for _ in range(4):
-            good = [(g, c, r) for c, (g, r) in options.items() if g >= _margin(models, c, text)]
-            if not good:
-                break
+    __slots__ = ("fixed", "chain", "gain", "options", "strange", "top")
+
+    def __init__(self, word: str, strange: bool, options: dict[tuple[str, str], tuple[float, str]]):
+        self.fixed, self.chain, self.gain = word, "", 0.0
+        self.strange, self.options = strange, options
+        self.top = max([-_AGAINST, *(g for g, _ in options.values())])  # the most it can say for any chain
+
+
+def _judge_words(models: Models, words: list[str]) -> dict[str, _Word]:
+    """All words judged together; what an inversion gives back is judged again in the next round, as
+    text may have gone through several chains."""
+    seen = dict(zip(words, _inversions_of(models, words))) if words else {}
+    out = {w: _Word(w, *seen[w]) for w in words}
+    steps: dict[str, list[str]] = {w: [] for w, x in out.items() if x.top >= 4.0}
+    for _ in range(4):
+        new = sorted({out[w].fixed for w in steps} - seen.keys())
+        seen.update(zip(new, _inversions_of(models, new)) if new else ())
+        for w in list(steps):
+            x = out[w]
+            odd, options = seen[x.fixed]
+            good = [(g, c, r) for c, (g, r) in options.items() if g >= 4.0 and g >= _margin(c, x.fixed, odd)]
             # what reads as UTF-8 is not taken for a text of East Asia
-            good = [x for x in good if x[1][1] not in _EAST_ASIA] or good if any(x[1][1] == "utf-8" for x in good) else good
-            gain, chain, text = max(good, key=lambda x: x[0])
-            self.gain = self.gain or gain
-            steps.append(_name(chain))
-            options = {} if text.isascii() else _inversions(models, text)
-        self.fixed, self.chain = text, ",".join(reversed(steps))
+            good = [y for y in good if y[1][1] not in _EAST_ASIA] or good if any(y[1][1] == "utf-8" for y in good) else good
+            if good:
+                gain, chain, x.fixed = max(good, key=lambda y: y[0])
+                x.gain = x.gain or gain
+                steps[w].append(_name(chain))
+            if not good or x.fixed.isascii():
+                x.chain = ",".join(reversed(steps.pop(w)))
+    for w, done in steps.items():
+        out[w].chain = ",".join(reversed(done))
+    return out
 
 
 class Repairer:
@@ -322,22 +415,35 @@ class Repairer:
     def __init__(self, models: Models):
         self.models = models
         self.words: dict[str, _Word] = {}
+        self.sentences: dict[str, tuple[str, list[str]]] = {}
 
     def _word(self, w: str) -> _Word:
         hit = self.words.get(w)
         if hit is None:
-            if len(self.words) >= WORD_CACHE:
-                self.words.clear()
-            hit = self.words[w] = _Word(self.models, w)
+            hit = self.words[w] = _judge_words(self.models, [w])[w]
         return hit
 
+    def learn(self, texts: list[str]) -> None:
+        """Judge all new words of the texts together."""
+        new = {w for t in texts for w in _SPACE.split(" ".join(_SENTENCE.split(t))) if not w.isascii() and w not in self.words}
+        if len(self.words) + len(new) > WORD_CACHE:
+            self.words.clear()
+        order = sorted(new)
+        for i in range(0, len(order), 2_000):
+            self.words.update(_judge_words(self.models, order[i : i + 2_000]))
+
     def repair(self, text: str) -> tuple[str, list[str]]:
         """The text with every piece restored that can be, and the chains that had made them."""
         chains: dict[str, int] = {}
         done = []
+        if len(self.sentences) > WORD_CACHE:
+            self.sentences.clear()
         for sentence in _KEEP_SENTENCE.split(text):
-            if sentence and not sentence.isascii():
-                sentence, found = self._sentence(sentence)
+            if not sentence.isascii():
+                hit = self.sentences.get(sentence)
+                if hit is None:
+                    hit = self.sentences[sentence] = self._sentence(sentence)
+                sentence, found = hit
                 for c in found:
                     chains[c] = chains.get(c, 0) + 1
             done.append(sentence)
@@ -345,7 +451,9 @@ class Repairer:
 
     def _sentence(self, s: str) -> tuple[str, list[str]]:
         parts = _KEEP_SPACE.split(s)
-        words = {i: self._word(w) for i, w in enumerate(parts) if w and not w.isascii()}
+        words = {i: self._word(w) for i, w in enumerate(parts) if not w.isascii()}
+        if sum(w.top for w in words.values()) < 4.0 and not any(w.chain for w in words.values()):
+            return s, []  # no chain can reach the least margin
         total, chain = self._shared_chain(list(words.values()))
         found = []
         for i, w in words.items():
@@ -406,6 +514,7 @@ def judge(documents: DataFrame, models: Models) -> DataFrame:
         repairer = Repairer(shared.value)
         for b in batches:
             rows = []
+            repairer.learn(list(b["text"]))
             for i, t in zip(b["doc_id"], b["text"]):
                 fixed, chains = repairer.repair(t)
                 lost = _LOST.search(fixed) is not None
@@ -414,10 +523,12 @@ def judge(documents: DataFrame, models: Models) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc_id", "restored", "chains", "lost"])
 
     beyond = documents.where(F.col("doc_id").isNotNull() & F.col("text").rlike("[^\\x00-\\x7f]")).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # judging a text costs far more than moving it, so the texts are dealt out evenly first
+    # judging a text costs far more than moving it, so the texts are dealt out evenly first; those
+    # with the same first character beyond ASCII side by side, for a task judges each word once
     spark = documents.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return beyond.repartition(tasks, "doc_id").mapInPandas(run, "doc_id long, restored string, chains string, lost boolean")
+    dealt = beyond.withColumn("_first", F.regexp_extract("text", "[^\\x00-\\x7f]", 0)).repartitionByRange(tasks, "_first", F.xxhash64("doc_id"))
+    return dealt.select("doc_id", "text").mapInPandas(run, "doc_id long, restored string, chains string, lost boolean")
 
 
 def repair_documents(documents: DataFrame, train_documents: int = TRAIN_DOCUMENTS) -> DataFrame:
