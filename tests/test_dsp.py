@@ -62,6 +62,10 @@ def test_alias_identity(spark):
     assert 0 < share[False] < share[True] <= 1
     with pytest.raises(ValueError):
         sp.alias_decomposition(p, ["id"], 32, 64, 0.25, 0.25, (16, 8))
+    with pytest.raises(ValueError):
+        sp.alias_decomposition(p, ["id"], 32, 65, 0.25, 0.25, (4, 8))
+    cells, n1, n2 = sp.trim_patch(patch_frame(spark, np.zeros((35, 65))), "r", "c", 35, 65, (4, 8))
+    assert (n1, n2) == (32, 64) and cells.count() == 32 * 64
 
 
 def test_field_has_its_variance():
@@ -70,30 +74,6 @@ def test_field_has_its_variance():
     assert np.mean(v) == pytest.approx(4.0, rel=0.15)
 
 
-def test_swath_spectra_against_numpy(spark):
-    r = np.random.default_rng(3)
-    n, rows = 120, []
-    z = r.normal(0, 0.1, (n, 4))
-    z[30:33, 1] = np.nan
-    z[:80, 3] = np.nan
-    for i in range(n):
-        for j in range(4):
-            rows.append(("g", "left", j, i, 2.0 * i, float(i), 10.0, None if np.isnan(z[i, j]) else float(z[i, j])))
-    df = spark.createDataFrame(rows, "granule string, swath string, pixel int, line int, km double, lat double, lon double, ssh double")
-    got = sp.swath_spectra(df, ["granule", "swath"], "pixel", "line", "km", "ssh", 100.0, 2.0, 0.5).orderBy("segment_index").collect()
-    starts = [0, 25, 50, 69]
-    assert [s["start_km"] for s in got] == [2.0 * s for s in starts]
-    for seg, i in zip(got, starts):
-        cols = []
-        for j in range(4):
-            x, y = 2.0 * np.arange(i, min(i + 51, n)), z[i : i + 51, j]
-            ok = ~np.isnan(y)
-            if ok.mean() >= 0.75:
-                cols.append(np.interp(2.0 * i + 2.0 * np.arange(50), x[ok], y[ok]))
-        assert seg["n_pixels_used"] == len(cols)
-        assert np.allclose(seg["psd"], dsp.periodograms(np.stack(cols), 2.0).mean(axis=0), rtol=1e-8)
-
-
 def test_track_tail_is_covered(spark):
     for total, length in ((237.0, 100.0), (99.0, 100.0), (100.0, 100.0), (301.0, 100.0)):
         df = spark.createDataFrame([(1, i, float(k)) for i, k in enumerate(np.arange(0, total + 1e-9, 1.0))], "g int, idx int, km double")

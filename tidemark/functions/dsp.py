@@ -52,6 +52,11 @@ def half_power(taps: int, dx: float, points: int = 200_001) -> float:
     return float(k[np.argmin(np.abs(transfer_power(k, taps, dx) - 0.5))])
 
 
+def spacing_of(k_max: Column) -> Column:
+    """Sample spacing whose largest wavenumber is ``k_max``."""
+    return 1 / (2 * k_max)
+
+
 def decimation(dx_native: float, dx_target: float, length: float) -> tuple[int, int, int]:
     """(factor, target rows, native rows) of a segment of ``length``."""
     m = max(1, round(dx_target / dx_native))

@@ -47,3 +47,8 @@ def local_xy_km(lat: Column, lon: Column, lat0: Column, lon0: Column) -> tuple[C
     """Equirectangular kilometres about a reference point."""
     km = math.pi / 180 * 6371.0
     return (lon - lon0) * km * F.cos(F.radians(lat0)), (lat - lat0) * km
+
+
+def white_noise(swh: Column, width: float = 15.0, cell: float = 0.5, scale: float = 2.3) -> Column:
+    """Level of the noise that a wave height brings: 2 (width / cell) (1 / scale)**2 (swh / 2)**1.5."""
+    return 2 * width / cell * (1 / scale) ** 2 * F.pow(F.when(swh >= 0, swh) / 2, 1.5)

@@ -63,6 +63,25 @@ def grid_densify(grid: DataFrame, n_lat: int, n_lon: int) -> DataFrame:
     return axes.join(grid, ["ilat", "ilon"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
+def roi(df: DataFrame, lat: str, lon: str, lat_min: float | None = None, lat_max: float | None = None, lon_min: float | None = None, lon_max: float | None = None) -> DataFrame:
+    """Rows inside a region, edges included; a bound that is not given does not bind, and rows without
+    the coordinate it is about stay."""
+    for c, bound, above in ((lat, lat_min, True), (lat, lat_max, False), (lon, lon_min, True), (lon, lon_max, False)):
+        if bound is not None:
+            df = df.where(F.col(c).isNull() | (F.col(c) >= bound if above else F.col(c) <= bound))
+    return df
+
+
+def zone(df: DataFrame, lat: str, lo: float, hi: float) -> DataFrame:
+    """Rows of a zone of latitude, lo < lat <= hi."""
+    return df.where((F.col(lat) > lo) & (F.col(lat) <= hi))
+
+
+def zoom(df: DataFrame, lat: str, lon: str, value: str, lat_range: tuple[float, float], lon_range: tuple[float, float]) -> DataFrame:
+    """Rows of a bounding box that have a value, so that empty lines and columns are gone."""
+    return df.where(F.col(lat).between(*lat_range) & F.col(lon).between(*lon_range) & F.col(value).isNotNull())
+
+
 def box_keys(df: DataFrame, lat: str, lon: str, box: float) -> DataFrame:
     """ilat, ilon of boxes that begin at 0 degrees; rows without position drop out."""
     return df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull() & ~F.isnan(lat) & ~F.isnan(lon)).withColumn("ilat", F.floor(F.col(lat) / box).cast("int")).withColumn(

@@ -129,6 +129,53 @@ def distance_segments(df: DataFrame, keys: list[str], km: str, idx: str, length:
     return seg.groupBy(*keys, "i1").agg(F.min(F.struct("start_km", "i0")).alias("s")).select(*keys, "s.start_km", "s.i0", "i1")
 
 
+def swath_axis(lines: DataFrame, group: list[str], pixel: str, order: str, lat: str, lon: str) -> DataFrame:
+    """(group, order, lat, lon, km, n_columns): one row for every line of a swath, whether it is in
+    the table or not, on the track of its middle column (of the middle one of those with any position,
+    if that has none).
+
+    Missing positions are interpolated by line, longitudes the short way round, and held at the ends.
+    Everything is one row per line of one column, a small part of the swath.
+    """
+    known = F.col(lat).isNotNull() & F.col(lon).isNotNull()
+    cols = lines.groupBy(*group, pixel).agg(F.count_if(known).alias("_n"), F.min(order).alias("_lo"), F.max(order).alias("_hi"))
+    c, v = F.col("_c"), F.filter("_c", lambda x: x["n"] > 0)
+    mid, other = F.get(c, F.floor(F.size(c) / 2).cast("int")), F.get(v, F.floor(F.size(v) / 2).cast("int"))
+    ref = cols.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(F.col(pixel).alias("p"), F.col("_n").alias("n")))).alias("_c"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+    ref = ref.select(*group, F.when(mid["n"] > 0, mid["p"]).otherwise(other["p"]).alias(pixel), "_lo", "_hi", F.size(c).alias("n_columns"))
+    track = lines.where(known).select(*group, pixel, order, F.col(lat).alias("lat"), F.col(lon).alias("lon")).join(ref, [*group, pixel])
+    w = Window.partitionBy(*group).orderBy(order)
+    d = track.withColumn("_next", F.lead(order).over(w)).withColumn("_lat", F.lead("lat").over(w)).withColumn("_lon", F.lead("lon").over(w))
+    begin = F.when(F.lag(order).over(w).isNull(), F.col("_lo")).otherwise(F.col(order))
+    d = d.withColumn("_from", begin).withColumn("_to", F.when(F.col("_next").isNull(), F.col("_hi")).otherwise(F.col("_next") - 1)).where("_from <= _to")
+    d = d.withColumn("_line", F.explode(F.sequence("_from", "_to")))
+    t = F.when(F.col("_next").isNotNull() & (F.col("_line") > F.col(order)), (F.col("_line") - F.col(order)) / (F.col("_next") - F.col(order))).otherwise(0.0)
+    short = F.pmod(F.col("_lon") - F.col("lon") + 180.0, F.lit(360.0)) - 180.0
+    d = d.select(
+        *group, F.col("_line").alias(order), (F.col("lat") + F.coalesce(F.col("_lat") - F.col("lat"), F.lit(0.0)) * t).alias("lat"), (F.col("lon") + F.coalesce(short, F.lit(0.0)) * t).alias("lon"), "n_columns"
+    )
+    return along_track_km(d, group, order, "lat", "lon")
+
+
+def segment_axis(lines: DataFrame, group: list[str], pixel: str, order: str, lat: str, lon: str, length: float, overlap: float = 0.0, dx: float | None = None, default_dx: float = 2.0) -> DataFrame:
+    """(group, order, km, dx, n_columns, segments): every line of a swath with the distance segments that
+    hold it: structs of segment_index, i0, i1 (lines, half-open), first_km, last_km, n_total.
+
+    dx is the median of the positive steps of the track unless it is given.
+    """
+    axis = swath_axis(lines, group, pixel, order, lat, lon)
+    g, w = Window.partitionBy(*group), Window.partitionBy(*group).orderBy(order)
+    step = F.col("km") - F.lag("km").over(w)
+    axis = axis.withColumn("_step", F.when(step > 0, step))
+    axis = axis.withColumn("dx", F.lit(float(dx)) if dx else F.coalesce(F.percentile("_step", 0.5).over(g), F.lit(default_dx)))
+    m = distance_members(axis.drop("_step", "lat", "lon"), group, "km", order, length, overlap)
+    seg = Window.partitionBy(*group, "start_km")
+    number = F.dense_rank().over(Window.partitionBy(*group).orderBy("start_km")) - 1
+    m = m.withColumn("first_km", F.min("km").over(seg)).withColumn("last_km", F.max("km").over(seg)).withColumn("segment_index", number.cast("int"))
+    m = m.withColumn("n_total", F.max("segment_index").over(g) + 1)
+    return m.groupBy(*group, order, "km", "dx", "n_columns").agg(F.collect_list(F.struct("segment_index", "i0", "i1", "first_km", "last_km", "n_total")).alias("segments"))
+
+
 def row_segment_starts(n: Column, rows: int, overlap: float = 0.0) -> Column:
     """Starts of segments of a fixed number of rows in a series of ``n``, the tail included."""
     step = max(1, round(rows * (1 - overlap)))
@@ -164,6 +211,29 @@ def segments_at(df: DataFrame, keys: list[str], idx: str, lat: str, targets: lis
     return c.withColumn("i0", F.col("center") - rows // 2).withColumn("i1", F.col("i0") + rows).where((F.col("i0") >= 0) & (F.col("i1") <= F.col("_n"))).drop("_n")
 
 
+def segments_around(df: DataFrame, keys: list[str], idx: str, km: str, lat: str, targets: list[float], length: float, min_rows: int = 8) -> DataFrame:
+    """(keys, target, center, i0, i1): segments of ``length`` km centred where the track comes closest to
+    each target latitude (the first of equals); those that run off the track or hold too few lines
+    drop out. One window and one aggregate on the track's keys; the targets are a literal."""
+    g = Window.partitionBy(*keys)
+    d = df.where(F.col(lat).isNotNull() & F.col(km).isNotNull()).withColumn("_a", F.min(km).over(g)).withColumn("_b", F.max(km).over(g))
+    t = d.withColumn("target", F.explode(F.array(*[F.lit(float(v)) for v in targets])))
+    w = Window.partitionBy(*keys, "target")
+    best = F.min(F.struct(F.abs(F.col(lat) - F.col("target")).alias("d"), F.col(idx).alias("i"), F.col(km).alias("k"))).over(w)
+    t = t.withColumn("_c", best)
+    lo, hi = F.col("_c.k") - length / 2, F.col("_c.k") + length / 2
+    t = t.where((lo >= F.col("_a")) & (hi <= F.col("_b")) & (F.col(km) >= lo) & (F.col(km) <= hi))
+    out = t.groupBy(*keys, "target").agg(F.max("_c.i").alias("center"), F.min(idx).alias("i0"), (F.max(idx) + 1).alias("i1"))
+    return out.where(F.col("i1") - F.col("i0") >= min_rows)
+
+
+def spread_targets(targets: list[float], count: int | None) -> list[float]:
+    """At most ``count`` of the targets, evenly by position."""
+    if count is None or len(targets) <= count:
+        return list(targets)
+    return [targets[i] for i in np.linspace(0, len(targets) - 1, count).round().astype(int)]
+
+
 # --- detrending and filters --------------------------------------------------------------------
 
 
@@ -212,6 +282,16 @@ def fir_decimate(df: DataFrame, keys: list[str], order: str, value: str, taps: l
     return d.select(*keys, "idx", _dot(F.col("_x"), F.array(*[F.lit(float(t)) for t in taps])).alias(value))
 
 
+def fir_decimate_2d(df: DataFrame, group: list[str], row: str, col: str, value: str, taps: list[float], every: int) -> DataFrame:
+    """(group, row, col, value): filtered along the track and across it, without a rim of as many rows
+    and columns as taps, each ``every``-th of both kept.
+
+    The rim is wider than the reach of the filter, so what lies beyond the edges never matters.
+    """
+    along = fir_decimate(df, [*group, col], row, value, taps, every).withColumnRenamed("idx", row)
+    return fir_decimate(along, [*group, row], col, value, taps, every).withColumnRenamed("idx", col)
+
+
 def hamming_taps(n: int) -> list[float]:
     """Hamming taps of unit sum."""
     t = np.hamming(n)
@@ -299,12 +379,23 @@ def resample(points: DataFrame, targets: DataFrame, keys: list[str], x: str, y:
     return d.where("_t = 1").select(*keys, F.col("_x").alias(x), out.alias(y))
 
 
-def nearest_line(points: DataFrame, lines: DataFrame, keys: list[str], point_cols: list[str], lat: tuple[str, str], lon: tuple[str, str], idx: str) -> DataFrame:
-    """The line nearest to each point within the same keys, the first of equals."""
+def nearest_line(points: DataFrame, lines: DataFrame, keys: list[str], point_cols: list[str], lat: tuple[str, str], lon: tuple[str, str], idx: str, block: int = 64) -> DataFrame:
+    """The line nearest to each point within the same keys, the first of equals.
+
+    Points meet blocks of ``block`` neighbouring lines, each with a centre and the radius that holds its
+    lines; only blocks that can hold the nearest line are opened. Exact whatever the track does.
+    """
     p = points.select(*keys, *point_cols, F.col(lat[0]).alias("_a"), F.col(lon[0]).alias("_o")).where("_a is not null and _o is not null")
-    q = lines.select(*keys, F.col(idx).alias("_i"), F.col(lat[1]).alias("_b"), F.col(lon[1]).alias("_u")).where("_b is not null and _u is not null")
-    near = p.join(q, keys).withColumn("_km", haversine_km(F.col("_a"), F.col("_o"), F.col("_b"), F.col("_u")))
-    return near.groupBy(*keys, *point_cols).agg(F.min(F.struct("_km", "_i")).alias("m")).select(*keys, *point_cols, F.col("m._i").alias(idx), F.col("m._km").alias("km"))
+    q = lines.select(*keys, F.col(idx).alias("_i"), F.col(lat[1]).alias("_b"), F.col(lon[1]).alias("_u"), F.floor(F.col(idx) / block).alias("_k")).where("_b is not null and _u is not null")
+    w = Window.partitionBy(*keys, "_k")
+    centre = F.min(F.struct("_i", "_b", "_u")).over(w)
+    q = q.withColumn("_m", centre).withColumn("_r", haversine_km(F.col("_m._b"), F.col("_m._u"), F.col("_b"), F.col("_u")))
+    blocks = q.groupBy(*keys, "_k").agg(F.max("_r").alias("_r"), F.first("_m").alias("_m"))
+    far = haversine_km(F.col("_a"), F.col("_o"), F.col("_m._b"), F.col("_m._u"))
+    near = p.join(blocks, keys).withColumn("_lo", far - F.col("_r") - 1e-6).withColumn("_hi", far + F.col("_r") + 1e-6)
+    near = near.withColumn("_best", F.min("_hi").over(Window.partitionBy(*keys, *point_cols))).where("_lo <= _best").select(*keys, *point_cols, "_a", "_o", "_k")
+    pairs = near.join(q.select(*keys, "_k", "_i", "_b", "_u"), [*keys, "_k"]).withColumn("_km", haversine_km(F.col("_a"), F.col("_o"), F.col("_b"), F.col("_u")))
+    return pairs.groupBy(*keys, *point_cols).agg(F.min(F.struct("_km", "_i")).alias("m")).select(*keys, *point_cols, F.col("m._i").alias(idx), F.col("m._km").alias("km"))
 
 
 def rounded_semi(left: DataFrame, right: DataFrame, keys: list[str], left_col: str, right_col: str, digits: int = 2) -> DataFrame:
@@ -333,6 +424,39 @@ def trim_swaths(df: DataFrame, group: list[str], xt: str, edge: float, both: boo
     return sided.join(edges, [*group, "swath"]).where(keep).drop("_hi", "_lo")
 
 
+def trim_swaths_median(df: DataFrame, group: list[str], pixel: str, xt: str, edges: float) -> DataFrame:
+    """Rows of the columns strictly within half the swath's width less ``edges``, floored, of the median
+    of its columns' distances, on both sides of it."""
+    cols = df.where("swath is not null").groupBy(*group, "swath", pixel).agg(F.percentile(xt, 0.5).alias("_x"))
+    w = Window.partitionBy(*group, "swath")
+    half = F.floor((F.max("_x").over(w) - F.min("_x").over(w) - edges) / 2)
+    off = F.abs(F.col("_x") - F.percentile("_x", 0.5).over(w))
+    keep = cols.withColumn("_in", off < half).where("_in").select(*group, "swath", pixel)
+    return df.join(keep, [*group, "swath", pixel], "left_semi")
+
+
+def trim_pixels(df: DataFrame, group: list[str], pixel: str, n: int) -> DataFrame:
+    """Rows without the first and last ``n`` pixel columns of each group."""
+    ends = df.groupBy(*group).agg(F.min(pixel).alias("_a"), F.max(pixel).alias("_b"))
+    return df.join(ends, group).where((F.col(pixel) >= F.col("_a") + n) & (F.col(pixel) <= F.col("_b") - n)).drop("_a", "_b")
+
+
+def across_between(df: DataFrame, xt: str, lo: float, hi: float) -> DataFrame:
+    """Rows whose distance from the track is in [lo, hi)."""
+    return df.where((F.abs(xt) >= lo) & (F.abs(xt) < hi))
+
+
+def valid_groups(df: DataFrame, group: list[str], value: str, share: float, min_rows: int = 1) -> DataFrame:
+    """(group, f, n): groups (columns or lines) with at least ``share`` of their values and enough rows."""
+    g = df.groupBy(*group).agg(F.avg(F.col(value).isNotNull().cast("double")).alias("f"), F.count("*").alias("n"))
+    return g.where((F.col("f") >= share) & (F.col("n") >= min_rows))
+
+
+def every_nth(df: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
+    """Each ``n``-th row of every series, the first among them."""
+    return indexed(df, keys, order, "_i").where(F.col("_i") % n == 0).drop("_i")
+
+
 def nadir_gap(df: DataFrame, group: list[str], pixel: str, value: str, min_valid: float) -> DataFrame:
     """(group, gap_start, gap_end): pixels between the two longest regions of mostly valid columns."""
     cols = df.groupBy(*group, pixel).agg(F.avg(F.col(value).isNotNull().cast("double")).alias("v"))

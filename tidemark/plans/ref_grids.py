@@ -67,13 +67,6 @@ def queries():
         b = g.box_mean_spectra(x, "lat_mean", "lon_mean", "wavenumber", ["psd"], box=10.0, fraction=0.15)
         return b.where("mean_psd is not null").select("ilat", "ilon", "n_segments", "sampling_fraction", "ik", significant(F.col("mean_psd") * 1e4, 10).alias("mean_psd_cm2"))
 
-    def box_three(s, d):
-        split = F.transform("psd", lambda v: F.when(measured(v), v))
-        x = segments(s, d, "wavenumber", "psd").withColumn("total", split)
-        x = x.withColumn("direct", F.transform("total", lambda v: v * 0.75)).withColumn("aliased", F.transform("total", lambda v: v * 0.25))
-        b = g.box_mean_spectra(x, "lat_mean", "lon_mean", "wavenumber", ["direct", "aliased", "total"], box=20.0, min_count=5)
-        return b.where("mean_total is not null").select("ilat", "ilon", "n_segments", "ik", *[significant(F.col(f"mean_{p}") * 1e4, 10).alias(f"mean_{p}") for p in ("direct", "aliased", "total")])
-
     def box_scalar(s, d):
         b = g.box_mean_scalar(segments(s, d, "valid_fraction"), "lat_mean", "lon_mean", "valid_fraction", 2.0)
         return b.select("ilat", "ilon", "lat_center", "lon_center", clean0("mean").alias("mean"), "n_segments")
@@ -125,7 +118,7 @@ def queries():
     def scalars(s, d):
         p = pixels(s, d)
         lat, lon = F.col("latitude"), F.col("longitude")
-        return p.select("obs_id", clean0(geo.lon_180(lon)).alias("lon_180"), clean0(geo.lon_360(lon)).alias("lon_360"), clean0(geo.coriolis(lat) * 1e4).alias("f_1e4"), clean0(geo.haversine_km(lat, lon, F.lit(0.0), F.lit(0.0))).alias("km"), clean0(geo.geostrophic_velocity(F.lit(1e-6), lat)).alias("v"), clean0(geo.signed_cross_track(F.col("cross_track_distance"), F.when(F.col("pixel_no") < 34, "left").otherwise("right"))).alias("xt"), clean0(F.log10(F.when(F.col("swh_karin") > 0, F.col("swh_karin")))).alias("log_swh"), clean0(2 * 30.0 * (1 / 2.3) ** 2 * F.pow(F.when(F.col("swh_karin") >= 0, F.col("swh_karin")) / 2, 1.5)).alias("white_noise"))
+        return p.select("obs_id", clean0(geo.lon_180(lon)).alias("lon_180"), clean0(geo.lon_360(lon)).alias("lon_360"), clean0(geo.coriolis(lat) * 1e4).alias("f_1e4"), clean0(geo.haversine_km(lat, lon, F.lit(0.0), F.lit(0.0))).alias("km"), clean0(geo.geostrophic_velocity(F.lit(1e-6), lat)).alias("v"), clean0(geo.signed_cross_track(F.col("cross_track_distance"), F.when(F.col("pixel_no") < 34, "left").otherwise("right"))).alias("xt"), clean0(F.log10(F.when(F.col("swh_karin") > 0, F.col("swh_karin")))).alias("log_swh"), clean0(geo.white_noise(F.col("swh_karin"))).alias("white_noise"))
 
     def local_xy(s, d):
         p = pixels(s, d, _KEYS + ["latitude", "longitude"]).withColumn("lon", geo.lon_360(F.col("longitude")))
@@ -135,10 +128,10 @@ def queries():
 
     def roi(s, d):
         x = segments(s, d)
-        return x.where(F.col("lat_mean").between(-40, 40) & F.col("lon_mean").between(-60, 120)).select("segment_id", "swath", "month")
+        return g.roi(x.where("lat_mean is not null and lon_mean is not null"), "lat_mean", "lon_mean", -40, 40, -60, 120).select("segment_id", "swath", "month")
 
     def zoom(s, d):
-        h = points(s, d).where("latitude between -30 and 30 and lon between -90 and 90 and ssh is not null")
+        h = g.zoom(points(s, d), "latitude", "lon", "ssh", (-30, 30), (-90, 90))
         return h.select("obs_id", clean0("lon").alias("lon"), clean0("ssh").alias("ssh"))
 
     def manifest(s, d):
@@ -170,6 +163,10 @@ def queries():
         "product_difference": differences,
         "roi_filter": roi,
         "zoom_bbox": zoom,
+        "roi_optional": lambda s, d: g.roi(segments(s, d), "lat_mean", "lon_mean", lat_min=-40, lon_max=120).select("segment_id", "swath"),
+        "latitude_zone": lambda s, d: g.zone(segments(s, d), "lat_mean", 30, 60).select("segment_id", "lat_mean"),
+        "months_selected": lambda s, d: src.of_months(segments(s, d), [3]).select("segment_id", "granule", "month"),
+        "ocean_flag": lambda s, d: pixels(s, d).select("obs_id", src.ocean(pixels(s, d)).alias("ocean")),
         "coast_dilation": coast,
         "manifest_combine": manifest,
         "manifest_missing": no_output,
@@ -184,7 +181,6 @@ def queries():
         "grid_variables": all_vars,
         "box_mean_psd": box_psd,
         "box_sampling_filter": box_filtered,
-        "box_three_psd": box_three,
         "box_mean_scalar": box_scalar,
         "box_count_thresholds": box_counts,
         "lat_bins_right_closed": bins("right"),
@@ -241,6 +237,10 @@ _SQL = {
         from (select *, try_cast(regexp_extract(subdir, '([0-9]{2})([0-9]{2})$', 1) as integer) m, try_cast(regexp_extract(subdir, '([0-9]{2})([0-9]{2})$', 2) as integer) y from granule_manifest)""",
     "product_difference": f"with {PX} select obs_id, round(case when abs(ssha_karin_2) < 1e4 then ssha_karin_2 end - height_cor_xover, 6) + 0e0 diff from px",
     "roi_filter": f"with {SEG} select segment_id, swath, month from seg where lat_mean between -40 and 40 and lon_mean between -60 and 120",
+    "roi_optional": f"with {SEG} select segment_id, swath from seg where (lat_mean is null or lat_mean >= -40) and (lon_mean is null or lon_mean <= 120)",
+    "latitude_zone": f"with {SEG} select segment_id, lat_mean from seg where lat_mean > 30 and lat_mean <= 60",
+    "months_selected": f"with {SEG} select segment_id, granule, month from seg where month = 3",
+    "ocean_flag": f"with {PX} select obs_id, coalesce(ancillary_surface_classification_flag = 0 and coalesce(surface_type, 0) = 0, false) ocean from px",
     "zoom_bbox": f"with {_HG} select obs_id, round(lon, 6) + 0e0 lon, round(ssh, 6) + 0e0 ssh from p where latitude between -30 and 30 and lon between -90 and 90",
     "coast_dilation": f"""with {PX}, c as (select cast(floor(latitude + 90e0) as integer) ilat, cast(floor({_L} + 180e0) as integer) ilon, coalesce(max(ancillary_surface_classification_flag), 0) f
         from px where latitude is not null and longitude is not null group by 1, 2)
@@ -267,8 +267,6 @@ _SQL = {
         from lg join cnt using (ilat, ilon) group by ilat, ilon, n_segments, ik having count(p) > 0""",
     "box_sampling_filter": f"""with {_boxes('1e1')}, m as (select max(n_segments) mx from cnt) select ilat, ilon, n_segments, n_segments / cast(mx as double) sampling_fraction, cast(ik as integer) ik,
         round(avg(p) * 1e4, 6) + 0e0 mean_psd_cm2 from lg join cnt using (ilat, ilon), m where n_segments >= 15e-2 * mx group by ilat, ilon, n_segments, mx, ik having count(p) > 0""",
-    "box_three_psd": f"""with {_boxes('2e1', 'having count(*) >= 5')} select ilat, ilon, n_segments, cast(ik as integer) ik, round(avg(p * 75e-2) * 1e4, 6) + 0e0 mean_direct, round(avg(p * 25e-2) * 1e4, 6) + 0e0 mean_aliased,
-        round(avg(p) * 1e4, 6) + 0e0 mean_total from lg join cnt using (ilat, ilon) group by ilat, ilon, n_segments, ik having count(p) > 0""",
     "box_mean_scalar": f"with {SEG} select {_BOX.format(b='2e0')}, (floor(lat_mean / 2e0) + 5e-1) * 2e0 lat_center, (floor(lon_mean / 2e0) + 5e-1) * 2e0 lon_center, round(avg(valid_fraction), 6) + 0e0 mean, count(valid_fraction) n_segments from seg where lat_mean is not null and lon_mean is not null group by all",
     "box_count_thresholds": f"""with {SEG}, b as (select {_BOX.format(b='5e0')}, count(valid_fraction) n from seg where lat_mean is not null and lon_mean is not null group by 1, 2)
         select ilat, max(n) max_n, count(*) filter (where n >= 5) n5, count(*) filter (where n >= 10) n10 from b group by 1""",
@@ -278,5 +276,5 @@ _SQL = {
     "zonal_mean": f"with {SEG}, {GOOD}, b as (select {_BOX.format(b='1e1')}, cast(ik as integer) ik, avg(p) m from good where lat_mean is not null and lon_mean is not null group by 1, 2, 3) select ilat, ik, round(avg(m) * 1e4, 6) + 0e0 mean_cm2, count(*) n_boxes from b group by 1, 2",
     "meridional_mean": f"with {SEG}, {GOOD}, b as (select {_BOX.format(b='1e1')}, cast(ik as integer) ik, avg(p) m from good where lat_mean is not null and lon_mean is not null group by 1, 2, 3) select ilon, ik, round(avg(m) * 1e4, 6) + 0e0 mean_cm2, count(*) n_boxes from b group by 1, 2",
 }
-_WIDE = ("box_mean_psd", "box_sampling_filter", "box_three_psd", "zonal_mean", "meridional_mean")  # values over many powers of ten
+_WIDE = ("box_mean_psd", "box_sampling_filter", "zonal_mean", "meridional_mean")  # values over many powers of ten
 ORACLE = tie_free({name: significant_sql(sql, 10) if name in _WIDE else sql for name, sql in _SQL.items()})

@@ -126,14 +126,30 @@ def queries():
         return t.nadir_gap(p, ["label"], "col", "v", 0.5)
 
     def xtrack_bin(s, d):
-        x = series(s, d).where((F.abs("xt") >= 10_000) & (F.abs("xt") < 40_000))
+        x = t.across_between(series(s, d), "xt", 10_000, 40_000)
         return x.groupBy("granule").agg(F.count("*").alias("n"), F.count("ssh").alias("valid"))
 
     def min_valid(s, d):
-        x = series(s, d).groupBy(*K).agg(F.avg(F.col("ssh").isNotNull().cast("double")).alias("f"), F.count("*").alias("n")).where("f >= 0.9 and n >= 100")
+        x = t.valid_groups(series(s, d), K, "ssh", 0.9, 100)
         return x.select(*K, clean0("f").alias("f"), "n")
 
+    def trimmed(s, d):
+        x = t.trim_swaths_median(t.split_swaths(series(s, d), ["granule"], "pixel_no", "xt"), ["pass_no"], "pixel_no", "xt", 4000.0)
+        return x.groupBy("pass_no", "swath", "pixel_no").agg(F.count("*").alias("n"))
+
+    def around(s, d):
+        return t.segments_around(with_km(s, d), K, "idx", "km", "lat", t.spread_targets([-60.0, -45.0, -30.0, -15.0, 0.0, 15.0, 30.0, 45.0, 60.0], 5), LENGTH)
+
+    def decimated(s, d):
+        x = t.fir_decimate_2d(patches(s, d), ["label"], "row", "col", "v", t.hamming_taps(9), 4)
+        return x.select("label", "row", "col", clean0("v").alias("v"))
+
     return {
+        "swath_trim_median": trimmed,
+        "pixel_trim": lambda s, d: t.trim_pixels(series(s, d), ["pass_no"], "pixel_no", 2).groupBy("pass_no", "pixel_no").agg(F.count("*").alias("n")),
+        "segments_around_targets": around,
+        "every_tenth": lambda s, d: t.every_nth(series(s, d), K, "line_no", 10).select("obs_id", *K, "line_no"),
+        "fir_decimate_2d": decimated,
         "track_distance": lambda s, d: with_km(s, d).select("obs_id", clean0("km", 4).alias("km")),
         "nan_interp": interp(True),
         "nan_interp_unclamped": interp(False),
@@ -222,6 +238,17 @@ def _taps_sql(n=17):
 
 
 ORACLE = tie_free({
+    "swath_trim_median": f"""with {SER}, m as (select granule, pixel_no, median(xt) m from ser group by 1, 2), x as (select ser.*, case when m < 0 then 'left' when m > 0 then 'right' end swath from ser join m using (granule, pixel_no)),
+      c as (select pass_no, swath, pixel_no, median(xt) x from x where swath is not null group by all), b as (select pass_no, swath, median(x) mid, floor((max(x) - min(x) - 4000) / 2) half from c group by all)
+      select pass_no, swath, pixel_no, count(*) n from x join c using (pass_no, swath, pixel_no) join b using (pass_no, swath) where c.x > mid - half and c.x < mid + half group by all""",
+    "pixel_trim": f"with {SER}, b as (select pass_no, min(pixel_no) lo, max(pixel_no) hi from ser group by 1) select pass_no, pixel_no, count(*) n from ser join b using (pass_no) where pixel_no between lo + 2 and hi - 2 group by 1, 2",
+    "segments_around_targets": f"""with {KM}, tg(target) as (values (-60e0), (-30e0), (0e0), (30e0), (60e0)), c as (select granule, pixel_no, target, arg_min(idx, (abs(lat - target), idx)) center, arg_min(km, (abs(lat - target), idx)) mid, min(km) a, max(km) b from km, tg group by 1, 2, 3)
+      select c.granule, c.pixel_no, target, center, min(idx) i0, max(idx) + 1 i1 from c join km on km.granule = c.granule and km.pixel_no = c.pixel_no and km.km between mid - {LENGTH / 2}e0 and mid + {LENGTH / 2}e0
+      where mid - {LENGTH / 2}e0 >= a and mid + {LENGTH / 2}e0 <= b group by all having count(*) >= 8""",
+    "every_tenth": f"with {SER} select obs_id, granule, pixel_no, line_no from ser where idx % 10 = 0",
+    "fir_decimate_2d": f"""with {PATCH}, tp(o, w) as (values {_taps_sql(9)}), nn as (select label, max("row") + 1 n from cells group by 1)
+      select x.label, x."row", x.col, round(sum(a.w * b.w * y.v), 6) + 0e0 v from cells x join nn on nn.label = x.label join tp a on true join tp b on true join cells y on y.label = x.label and y."row" = x."row" + a.o and y.col = x.col + b.o
+      where x."row" >= 9 and x."row" < n - 9 and (x."row" - 9) % 4 = 0 and x.col >= 9 and x.col < 55 and (x.col - 9) % 4 = 0 group by 1, 2, 3""",
     "track_distance": f"with {KM} select obs_id, round(km, 4) + 0e0 km from km",
     "nan_interp": f"with {SER}, {_ends('ser', 'line_no')} select obs_id, round(coalesce({_BLEND.format(y='ssh', x='line_no')}, py, ny), 6) + 0e0 ssh from br",
     "nan_interp_unclamped": f"with {SER}, {_ends('ser', 'line_no')} select obs_id, round({_BLEND.format(y='ssh', x='line_no')}, 6) + 0e0 ssh from br",

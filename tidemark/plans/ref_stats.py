@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import dsp
 from tidemark.operators import spectral_stats as st
 from tidemark.operators.tracks import resample
-from tidemark.plans.common import LONG, SEG, clean0, measured, segments, significant, significant_sql, tie_free
+from tidemark.plans.common import LONG, SEG, clean0, measured, segments, significant, significant_sql, table, tie_free
 from tidemark.schema import unnest_vectors
 
 BANDS = [(a, b) for a in (0.01, 0.02, 0.05) for b in (0.1, 0.2)]
@@ -42,12 +43,6 @@ def queries():
         m = x.groupBy("slice", "ik").agg(F.max("k").alias("k"), F.avg("psd").alias("psd"))
         return st.spectral_slope(m, ["slice"], 0.01, 0.1).select("slice", clean0("slope").alias("slope"))
 
-    def aliased_fraction(s, d):
-        x = long(s, d).withColumn("aliased", F.col("psd") * F.col("k"))
-        a = st.band_energy(x.select("segment_id", "k", F.col("aliased").alias("psd")), seg, 0.02, 0.2).withColumnRenamed("energy", "a")
-        b = st.band_energy(x, seg, 0.02, 0.2).withColumnRenamed("energy", "b")
-        return a.join(b, seg).select("segment_id", significant(F.try_divide(F.col("a"), F.col("a") + F.col("b"))).alias("aliased_fraction"))
-
     def colour_limits(s, d):
         e = st.percentile_row(st.band_energy_gradient(long(s, d), seg, 0.01, 0.1), [], {"low": 0.05, "high": 0.95}, "energy")
         return e.select(*[significant(c).alias(c) for c in ("low", "high")])
@@ -57,10 +52,11 @@ def queries():
         q = st.percentile_row(x, ["swath"], {"q25": 0.25, "q50": 0.5, "q75": 0.75}, "psd")
         return q.join(x.groupBy("swath").agg(F.count("*").alias("n")), "swath").select("swath", "n", *[significant(c).alias(c) for c in ("q25", "q50", "q75")])
 
-    def anisotropy(s, d):
-        m = long(s, d).groupBy("granule", "swath", "ik").agg(F.avg("psd").alias("psd"))
-        a, b = (m.where(F.col("swath") == w).select("granule", "ik", F.col("psd").alias(w)) for w in ("left", "right"))
-        return a.join(b, ["granule", "ik"]).select("granule", "ik", significant(F.try_divide(F.col("left"), F.col("right"))).alias("ratio"))
+    def cycles(s, d):
+        """Spectra of the same pass in different cycles beside each other, on the wavenumbers they share."""
+        m = table(s, d, "granule_manifest").groupBy("granule").agg(F.min("pass_no").alias("pass_no"), F.min("cycle_no").alias("cycle_no"))
+        c = long(s, d).join(m, "granule").groupBy("pass_no", "swath", "cycle_no", "ik").agg(F.avg("psd").alias("psd"))
+        return c.groupBy("pass_no", "swath", "ik").agg(F.count("*").alias("n_cycles"), significant(F.avg("psd")).alias("mean"), significant(F.max("psd")).alias("largest"))
 
     def majority(s, d):
         x = segments(s, d, "psd").where("psd is not null").withColumn("v", F.filter("psd", lambda v: v.isNotNull()))
@@ -90,9 +86,9 @@ def queries():
         "pass_mean": pass_mean,
         "mean_of_passes": mean_of_means,
         "lon_slice_slope": lon_slices,
-        "aliased_fraction": aliased_fraction,
         "colour_limits": colour_limits,
-        "anisotropy": anisotropy,
+        "nyquist_spacing": lambda s, d: long(s, d).groupBy("segment_id").agg(significant(dsp.spacing_of(F.max("k"))).alias("spacing")),
+        "cycle_alignment": cycles,
         "majority_length": majority,
         "fold_prediction": predicted,
         "one_sided": ready(lambda x: st.one_sided(x, seg, double_top=False).select("segment_id", "ik", "psd"), "psd"),
@@ -132,10 +128,10 @@ _SQL = {
     "mean_of_passes": f"with {G}, m as (select granule, swath, ik, avg(psd) m from g group by 1, 2, 3) select ik, round(avg(m), 6) + 0e0 mean from m group by 1",
     "lon_slice_slope": f"""with {G}, m as (select case when lon_mean between -60 and 0 then 'west' when lon_mean between 60 and 120 then 'east' end slice, ik, max(k) k, avg(psd) psd from g where lon_mean between -60 and 0 or lon_mean between 60 and 120 group by 1, 2),
         x as (select slice, (log10(psd) - lag(log10(psd)) over w) / (log10(k) - lag(log10(k)) over w) s from m where k between 0.01 and 0.1 and psd > 0 window w as (partition by slice order by k)) select slice, round(avg(s), 6) + 0e0 slope from x group by 1""",
-    "aliased_fraction": f"""with {G}, a as ({_trap('k between 0.02 and 0.2', 'psd * k').replace('psd * k + lag(psd * k)', 'psd * k + lag(psd * k)')}), b as ({_trap('k between 0.02 and 0.2')})
-        select segment_id, round(a.energy / nullif(a.energy + b.energy, 0), 6) + 0e0 aliased_fraction from a join b using (segment_id)""",
     "colour_limits": f"with {_DK}, e as (select segment_id, sum(psd * dk) e from dk where k between 0.01 and 0.1 group by 1) select round(quantile_cont(e, 0.05), 6) + 0e0 low, round(quantile_cont(e, 0.95), 6) + 0e0 high from e",
-    "anisotropy": f"with {G}, m as (select granule, swath, ik, avg(psd) m from g group by 1, 2, 3) select a.granule, a.ik, round(a.m / nullif(b.m, 0), 6) + 0e0 ratio from m a join m b on a.granule = b.granule and a.ik = b.ik and a.swath = 'left' and b.swath = 'right'",
+    "nyquist_spacing": f"with {G} select segment_id, round(1 / (2 * max(k)), 6) + 0e0 spacing from g group by 1",
+    "cycle_alignment": f"""with {G}, m as (select granule, min(pass_no) pass_no, min(cycle_no) cycle_no from granule_manifest group by 1), c as (select pass_no, swath, cycle_no, ik, avg(psd) psd from g join m using (granule) group by all)
+        select pass_no, swath, ik, count(*) n_cycles, round(avg(psd), 6) + 0e0 mean, round(max(psd), 6) + 0e0 largest from c group by 1, 2, 3""",
     "majority_length": f"""with {SEG}, v as (select segment_id, swath, len(list_filter(psd, lambda x: x is not null)) n from seg where psd is not null), c as (select swath, n, count(*) c from v group by 1, 2), m as (select swath, arg_min(n, (-c, n)) n from c group by 1)
         select segment_id, cast(n as integer) n from v join m using (swath, n)""",
     "fold_prediction": f"""with {G}, f as (select segment_id, k, k + n * 0.124e0 kf from g, range(0, 2) r(n) where k <= 0.124), br as (select f.segment_id, f.k, f.kf, max(case when g.k <= f.kf then (g.k, g.psd) end) lo, min(case when g.k >= f.kf then (g.k, g.psd) end) hi

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 
@@ -26,11 +27,14 @@ def get_spark(app: str = "tidemark", cpus: str = "*", shuffle_partitions: int =
 
 
 def _checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; a folder of our own only where none is set."""
+    """Use the shared folder the cluster names; a folder of our own only where none is set and all tasks
+    run on this machine."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-ckpt-"))
 
 

@@ -106,6 +106,25 @@ def unsmoothed_scan(left: DataFrame, right: DataFrame) -> DataFrame:
     return flipped.unionByName(moved).drop("n_left")
 
 
+def ocean(df: DataFrame) -> Column:
+    """Whether the surface flags that exist all say ocean."""
+    return surface_mask(df, F.lit(1)).isNotNull()
+
+
+def of_months(df: DataFrame, months: list[int], month: str = "month") -> DataFrame:
+    """Rows of some months; on a table partitioned by month only these folders are read."""
+    return df.where(F.col(month).isin(months))
+
+
+def concatenated(spark: SparkSession, paths: dict[str, str], name: str = "cycle") -> DataFrame:
+    """Several files or folders as one table with the label of each in the column ``name``."""
+    parts = [spark.read.parquet(p).withColumn(name, F.lit(label)) for label, p in paths.items()]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part, allowMissingColumns=True)
+    return whole
+
+
 def discover(spark: SparkSession, folder: str, pattern: str = "*.parquet", schema=None) -> DataFrame:
     """All files below the monthly folders that match, with their names."""
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
@@ -118,8 +137,9 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
 
 
-def month_of_folder(path: Column, overrides: dict[str, tuple[int, int]] | None = None) -> tuple[Column, Column]:
-    """(year, month) from a folder name ending in MMYY; overrides first; NULL where there is none."""
+def month_of_folder(path: Column, overrides: dict[str, tuple[int, int]] | None = None, strict: bool = False) -> tuple[Column, Column]:
+    """(year, month) from a folder name ending in MMYY; overrides first; where there is none NULL, or
+    with ``strict`` an error."""
     digits = F.regexp_extract(F.rtrim(path, F.lit("/")), r"([0-9]{2})([0-9]{2})$", 1), F.regexp_extract(F.rtrim(path, F.lit("/")), r"([0-9]{2})([0-9]{2})$", 2)
     month, year = digits[0].try_cast("int"), 2000 + digits[1].try_cast("int")
     ok = month.between(1, 12)
@@ -127,6 +147,8 @@ def month_of_folder(path: Column, overrides: dict[str, tuple[int, int]] | None =
     for folder, (y, m) in (overrides or {}).items():
         hit = F.element_at(F.split(F.rtrim(path, F.lit("/")), "/"), -1) == folder
         year, month = F.when(hit, F.lit(y)).otherwise(year), F.when(hit, F.lit(m)).otherwise(month)
+    if strict:
+        year, month = (F.when(c.isNotNull(), c).otherwise(F.raise_error(F.concat(F.lit("no month in "), path))) for c in (year, month))
     return year.cast("int"), month.cast("int")
 
 
