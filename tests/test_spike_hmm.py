@@ -50,8 +50,9 @@ def test_stuck_and_out_of_range():
     assert sum(map(bool, got)) == 10
 
 
-def test_short_series_have_bounds_only():
-    assert judge([0.1, 0.1, 9.0, 0.1]) == [0, 0, 0, 0]
+def test_short_series_are_judged_like_long_ones():
+    assert judge([0.1, 0.11, 9.0, 0.1]) == [0, 0, sh.SPIKE, 0]
+    assert judge([0.1, 9.0]) == judge([0.1]) + [0] == [0, 0]
     assert judge([25.0]) == [sh.OUT]
     assert judge([]) == []
 
@@ -71,17 +72,23 @@ def test_dirt(spark):
     assert sh.flag_readings(df.limit(0)).count() == 0
 
 
-def test_blocks_give_the_same_result(spark, monkeypatch):
-    v = [float(x) for x in noise(3000, 5)]
-    for i in (499, 500, 1501):
+@pytest.mark.parametrize("block", [1, 7, 64, 500])
+def test_blocks_give_the_same_result(spark, block):
+    """Spikes, stuck runs and gaps at the edges of blocks, beside a series that is short."""
+    v = [float(x) for x in noise(1200, 5)]
+    for i in (0, 63, 64, 127, 128, 499, 500, 501, 640, 641, 642, 643, 1199):
         v[i] += 2.0
-    v[996:1008] = [0.25] * 12
-    df = frame(spark, v)
-    whole = {tuple(r) for r in sh.flag_readings(df).select("obs_id", "state").collect()}
-    monkeypatch.setattr(sh, "BLOCK", 500)
-    monkeypatch.setattr(sh, "HALO", 200)
-    assert {tuple(r) for r in sh.flag_readings(df).select("obs_id", "state").collect()} == whole
-    assert len(whole) == 15
+    v[186:202] = [0.25] * 16
+    v[440:512] = v[440:499] + [float("nan")] * 13
+    v[700:900] = [None] * 100 + [-0.5] * 100
+    v[950] = 77.0
+    df = frame(spark, v).unionByName(spark.createDataFrame([(5000 + i, "h", 2, i, x, 0, "x", 1) for i, x in enumerate([0.1, 0.12, 3.0, 0.11, 0.1] + [0.2] * 8)], SCHEMA))
+    df = df.unionByName(df.where("obs_id % 10 = 3"))
+    whole = {r.obs_id: (r.state, r.probability) for r in sh.flag_readings(df).collect()}
+    got = {r.obs_id: (r.state, r.probability) for r in sh.flag_readings(df, block=block).collect()}
+    assert {k: x[0] for k, x in got.items()} == {k: x[0] for k, x in whole.items()}
+    assert all(x[1] == pytest.approx(whole[k][1], abs=1e-6) for k, x in got.items())
+    assert {x[0] for x in whole.values()} == {"spike", "stuck", "out_of_range"} and len(whole) > 120 and 640 not in whole
 
 
 @pytest.mark.parametrize("word,bad", [(0, False), (3, False), (33, False), (16, True), (-2, True), (2**31 - 1, True), (None, False)])

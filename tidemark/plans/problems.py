@@ -24,7 +24,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_NUM = r"^\s*([-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?)\s*(mm|cm|km|m|deg)?\s*$"
+_NAMES = {
+    "classification_flag_surface": "ancillary_surface_classification_flag", "cor_height_xover": "height_cor_xover", "hret_internal_tide": "internal_tide_hret", "karin_swh": "swh_karin",
+    "2_karin_ssha": "ssha_karin_2", "2_karin_qual_ssha": "ssha_karin_2_qual", "karin_speed_wind": "wind_speed_karin", "cross_distance_track": "cross_track_distance", "surface_type": "surface_type",
+    "flag_rain": "rain_flag", "dac": "dac", "latitude": "latitude", "longitude": "longitude", "time": "time",
+}
+_WORDS = """list_sort(list_distinct(list_filter(list_transform(string_split(lower(regexp_replace(replace(replace(regexp_replace(k, '([a-z])([A-Z])', '\\1_\\2', 'g'), '-', '_'), '.', '_'), '_(m)$', '')), '_'),
+     lambda x: case x when 'anc' then 'ancillary' when 'surf' then 'surface' when 'int' then 'internal' when 'correction' then 'cor' else x end), lambda x: x not in ('ancillary', 'm'))))"""
+# Every value of every whole record with its number, the metres in its own unit, and the scale of its file.
+_VALUES = f"""recs as (select granule, run_id, record_id, cast(any_value(payload) as json) j from raw_records where json_valid(payload) and json_type(payload) = 'OBJECT' group by 1, 2, 3),
+kv as (select record_id, granule, run_id, k, json_extract(j, '$."' || k || '"') x from (select *, unnest(json_keys(j)) k from recs)),
+tx as (select record_id, granule, run_id, case array_to_string({_WORDS}, '_') {' '.join(f"when '{a}' then '{b}'" for a, b in _NAMES.items())} end v, json_type(x) = 'OBJECT' o,
+  case json_type(x) when 'OBJECT' then json_extract_string(x, '$.value') when 'ARRAY' then json_extract_string(x, '$[0]') else json_extract_string(x, '$') end t, case when json_type(x) = 'OBJECT' then json_extract_string(x, '$.units') end u from kv),
+nu as materialized (select record_id, granule, run_id, v, t, case lower(t) when 'true' then 1e0 when 'false' then 0e0 {' '.join(f"when '{m}' then {i}e0" for i, m in enumerate(schema_drift.FLAG_MEANINGS))} else try_cast(regexp_extract(t, '{_NUM}', 1) as double) end n,
+  case coalesce(u, regexp_extract(t, '{_NUM}', 2)) when 'mm' then 1000e0 when 'cm' then 100e0 when 'm' then 1e0 when 'km' then 1e-3 end d from tx),
+fi as (select granule, v, median(abs(n)) filter (where n <> 0 and d is null) size, count(*) filter (where n is not null and d is null and regexp_matches(t, '^\s*[-+]?[0-9]+\s*$')) ints, count(*) filter (where n is not null and d is null) plain from nu group by 1, 2),
+us as (select v, median(size) usual from fi where not 2 * ints > plain group by 1),
+sc as (select granule, v, case when 2 * ints > plain and v in ('height_cor_xover', 'internal_tide_hret', 'swh_karin', 'dac', 'ssha_karin_2') then coalesce(pow(1e1, least(greatest(round(log10(size / usual)), 0), 3)), 1e0) else 1e0 end d from fi join us using (v))"""
+
 ORACLE = {
+    "p1_rescaled": f"""with {_VALUES}, files as (select granule, min((run_id, file_no)) f from granule_manifest group by 1)
+select f[1] run_id, f[2] file_no, v variable, 1 / d factor from sc join files using (granule) where d <> 1
+""",
+    "p1_union_table": f"""with {_VALUES}, x as (select record_id, granule, run_id, v, t, n / coalesce(nu.d, sc.d, 1e0) n from nu left join sc using (granule, v))
+select record_id, granule, run_id, max(t) filter (where v = 'time') "time", {', '.join(f"cast(max(n) filter (where v = '{v}') as {'bigint' if v in ('rain_flag', 'surface_type', 'ssha_karin_2_qual') else 'double'}) {v}" for v in _NAMES.values() if v != 'time')} from x group by 1, 2, 3
+""",
     "p1_found": """
 with files as (select distinct granule, file_no from granule_manifest),
 recs as (select distinct record_id, r.granule, r.run_id, f.file_no, cast(payload as json) j
