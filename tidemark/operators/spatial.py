@@ -131,8 +131,8 @@ def within_regions(
 ) -> DataFrame:
     """(id, region_id, km): points at most a region's own radius from its centre.
 
-    Regions are covered at the level that fits each; a point takes part once per level in use
-    between the coarsest and the finest, and those levels come from the data by one aggregate.
+    Regions are covered at the level that fits each; a point takes part once per level in use, and
+    those levels come from the data by one aggregate.
     """
     r = (
         regions.select(
@@ -148,14 +148,8 @@ def within_regions(
         .dropDuplicates(["id", "lat", "lon"])
         .withColumn("code", cell_code(F.col("lat"), F.col("lon")))
     )
-    span = F.broadcast(ranges.agg(F.min("level").alias("l0"), F.max("level").alias("l1")))  # one row
-    placed = (
-        p.join(span)
-        .where("l0 is not null")
-        .withColumn("level", F.explode(F.sequence("l0", "l1")))
-        .withColumn("cell", _prefix("code", F.col("level")))
-        .drop("l0", "l1")
-    )
+    used = F.broadcast(ranges.agg(F.collect_set("level").alias("levels")))  # one row, at most _BITS levels
+    placed = p.join(used).withColumn("level", F.explode("levels")).withColumn("cell", _prefix("code", F.col("level"))).drop("levels")
     return (
         placed.join(ranges, ["level", "cell"])
         .where("code >= lo and code <= hi")
