@@ -42,6 +42,10 @@ CHAR_BUCKETS = 1 << 16
 BIGRAM_BUCKETS = 1 << 14
 # What a chain loses of its gain for each unit of log-likelihood that it is behind the likeliest.
 PRIOR = 1.0
+# Log-odds of the likeliest chain against intact text that decide on a piece, where its words speak for
+# damage too and where they do not; how far behind it a chain may be to count as nearly as likely.
+ODDS, ODDS_ALONE, NEAR = 3.0, 8.0, 3.0
+DOUBT = 2.0  # gain of a word by some chain from which on the classifier is asked about the text
 WORD_CACHE = 200_000
 GATHER = 20_000  # characters scored at once
 
@@ -281,9 +285,9 @@ class Models:
         return any("\x80" <= c < "\u3000" and c not in beside and self._rare(c) for c in text)
 
     def behind(self, texts: list[str]) -> np.ndarray:
-        """(texts, chains): how far each chain's log-likelihood is behind that of the likeliest class,
-        intact text among them; infinite for chains the classifier has never seen."""
-        out = np.empty((len(texts), len(CHAINS)))
+        """(texts, chains and intact text): how far each class's log-likelihood is behind that of the
+        likeliest; infinite for chains the classifier has never seen."""
+        out = np.empty((len(texts), len(CHAINS) + 1))
         i = 0
         while i < len(texts):
             n, size = i, 0
@@ -292,9 +296,9 @@ class Models:
                 n += 1
             bigrams, at = _byte_bigrams_of(texts[i:n])
             score = np.add.reduceat(self.chain[bigrams], at, axis=0)
-            out[i:n] = score[:, self.known].max(axis=1, keepdims=True) - score[:, :-1]
+            out[i:n] = score[:, self.known].max(axis=1, keepdims=True) - score
             i = n
-        out[:, ~self.known[:-1]] = np.inf
+        out[:, ~self.known] = np.inf
         return out
 
 
@@ -312,6 +316,7 @@ def _margin(chain: tuple[str, str], text: str, odd: bool) -> float:
 _WRONG = tuple(dict.fromkeys(c[0] for c in CHAINS if not _multibyte(c[0])))
 _CHARSET = {w: frozenset(_table(w)[0]) for w in _WRONG}
 _TO_UTF8 = np.array([c[1] == "utf-8" for c in CHAINS])
+_FROM_MANY = [j for j, c in enumerate(CHAINS) if _multibyte(c[0])]
 _REGROUPS = np.array([_multibyte(c[0]) or _multibyte(c[1]) for c in CHAINS])
 
 
@@ -324,27 +329,32 @@ def _inversions_of(models: Models, words: list[str]) -> list[tuple[bool, dict[tu
     only pairs with a character beyond ASCII can gain, and none more than their own log-probability.
     """
     here, beyond, odd = models.usual_of(words)
-    behind = models.behind(words)
-    most = -np.where(_REGROUPS, here[:, None], beyond[:, None]) - np.where(_TO_UTF8, 0.0, PRIOR * behind)
-    tried = (most >= 0.0) & np.isfinite(behind)
-    made: list[list[tuple[int, str]]] = []
-    texts: dict[str, int] = {}  # many chains give the same back
-    for word, row in zip(words, tried):
+    read: list[tuple[set[str], set[str], dict[int, str]]] = []
+    for word in words:
         beyond_ascii = {c for c in word if c > "\x7f"}
         shows = {w for w in _WRONG if beyond_ascii <= _CHARSET[w]}  # encodings the whole word can have been read in
         holds = {w for w in _WRONG if _seen_utf8(w).search(word)} if _BESIDE.search(word) else set()
-        found = []
-        for j in np.flatnonzero(row):
-            chain = CHAINS[j]
-            w, r = chain[0], None
-            if _REGROUPS[j] and w not in _CHARSET or w in (holds & shows if _TO_UTF8[j] else shows):
-                r = restore(word, chain)
+        read.append((shows, holds, {j: r for j in _FROM_MANY if (r := restore(word, CHAINS[j])) is not None}))
+    # most words of East Asia end here: no chain can have made them, so none needs to be likely
+    asked = [i for i, x in enumerate(read) if any(x)]
+    behind = np.full((len(words), len(CHAINS)), np.inf)
+    if asked:
+        behind[asked] = models.behind([words[i] for i in asked])[:, :-1]
+    most = -np.where(_REGROUPS, here[:, None], beyond[:, None]) - np.where(_TO_UTF8, 0.0, PRIOR * behind)
+    tried = (most >= 0.0) & np.isfinite(behind)
+    made: list[list[tuple[int, str]]] = [[] for _ in words]
+    texts: dict[str, int] = {}  # many chains give the same back
+    for i in asked:
+        word, (shows, holds, many) = words[i], read[i]
+        for j in np.flatnonzero(tried[i]).tolist():
+            w, r = CHAINS[j][0], many.get(j)
+            if w in (holds & shows if _TO_UTF8[j] else shows):
+                r = restore(word, CHAINS[j])
             if r is None and _TO_UTF8[j] and w in holds:
                 r = restore_parts(word, w)
             if r is not None:
-                found.append((int(j), r))
+                made[i].append((j, r))
                 texts.setdefault(r, len(texts))
-        made.append(found)
     usual, strange = (models.usual_of(list(texts))[i] for i in (0, 2)) if texts else (np.empty(0), np.empty(0, bool))
     out = []
     for i, (word, found) in enumerate(zip(words, made)):
@@ -368,6 +378,9 @@ def _name(chain: tuple[str, str]) -> str:
     return f"{chain[1]}>{chain[0]}"
 
 
+_NUMBER = {_name(c): j for j, c in enumerate(CHAINS)}
+
+
 class _Word:
     """What is known of a word: what repairing it alone gives, and its inversions."""
 
@@ -415,7 +428,7 @@ class Repairer:
     def __init__(self, models: Models):
         self.models = models
         self.words: dict[str, _Word] = {}
-        self.sentences: dict[str, tuple[str, list[str]]] = {}
+        self.sentences: dict[str, tuple[str, list[str], bool]] = {}
 
     def _word(self, w: str) -> _Word:
         hit = self.words.get(w)
@@ -432,28 +445,76 @@ class Repairer:
         for i in range(0, len(order), 2_000):
             self.words.update(_judge_words(self.models, order[i : i + 2_000]))
 
-    def repair(self, text: str) -> tuple[str, list[str]]:
-        """The text with every piece restored that can be, and the chains that had made them."""
+    def repair(self, text: str, rounds: int = 3) -> tuple[str, list[str]]:
+        """The text with every piece restored that can be, and the chains that had made them.
+
+        Words and sentences say where damage is; which chain made it the classifier says, first for
+        the whole text and then for every damaged sentence. Where its chain does not give the piece back
+        strictly, what words and sentences found alone stays.
+        """
         chains: dict[str, int] = {}
-        done = []
+        pieces: list[tuple[str, str, list[str]]] = []
         if len(self.sentences) > WORD_CACHE:
             self.sentences.clear()
+        doubt = False
         for sentence in _KEEP_SENTENCE.split(text):
+            found: list[str] = []
+            fixed = sentence
             if not sentence.isascii():
                 hit = self.sentences.get(sentence)
                 if hit is None:
                     hit = self.sentences[sentence] = self._sentence(sentence)
-                sentence, found = hit
-                for c in found:
-                    chains[c] = chains.get(c, 0) + 1
-            done.append(sentence)
+                fixed, found, suspect = hit
+                doubt |= suspect
+            pieces.append((sentence, fixed, found))
+        damaged = any(found for *_, found in pieces)
+        named = [c for *_, found in pieces for c in found]
+        whole = self._by_classifier(text, "".join(p[1] for p in pieces), named) if damaged or doubt else None
+        if whole:
+            fixed, name = whole
+            more = self.repair(fixed, rounds - 1) if rounds > 1 and not fixed.isascii() else (fixed, [])
+            return more[0], [name, *more[1]]
+        done = []
+        for sentence, fixed, found in pieces:
+            again = self._by_classifier(sentence, fixed, found) if found else None
+            if again:
+                more = self.repair(again[0], rounds - 1) if rounds > 1 and not again[0].isascii() else (again[0], [])
+                fixed, found = more[0], [again[1], *more[1]]
+            for c in found:
+                chains[c] = chains.get(c, 0) + 1
+            done.append(fixed)
         return "".join(done), sorted(chains, key=lambda c: (-chains[c], c))
 
-    def _sentence(self, s: str) -> tuple[str, list[str]]:
+    def _by_classifier(self, text: str, fixed: str, named: list[str]) -> tuple[str, str] | None:
+        """What the likeliest chain gives back and its name: only if the classifier takes the text for
+        damaged, by far where nothing else says so (``named`` is empty), the chain gives it back strictly and
+        the result is sane and more usual. Of chains nearly as likely, and of what the words found alone
+        (``fixed``), the one counts whose result is the most usual for its likelihood."""
+        behind = self.models.behind([text])[0]
+        odds, gain = (ODDS, 2.0) if named else (ODDS_ALONE, 9.0)
+        if behind[-1] < odds:
+            return None
+        made = []
+        for j in np.flatnonzero((behind[:-1] <= NEAR) & (behind[-1] - behind[:-1] >= odds)):
+            r = restore(text, CHAINS[j])
+            if r is not None and not (_LOST.search(r) and not _LOST.search(text) or _MIXED.search(r) and not _MIXED.search(text)):
+                made.append((self.models.usual(r), -float(behind[j]), r, _name(CHAINS[j])))
+        if not made:
+            return None
+        usual, against, r, name = max(made, key=lambda x: (x[0] + x[1], x[3]))
+        if named:
+            # the step that was undone first made the damage that the classifier sees
+            held = max(float(behind[_NUMBER[c.rsplit(",", 1)[-1]]]) for c in named)
+            if self.models.usual(fixed) - held > usual + against:
+                return None
+        return (r, name) if usual - self.models.usual(text) >= gain else None
+
+    def _sentence(self, s: str) -> tuple[str, list[str], bool]:
+        """The sentence repaired by its words, the chains, and whether a word would gain by some chain."""
         parts = _KEEP_SPACE.split(s)
         words = {i: self._word(w) for i, w in enumerate(parts) if not w.isascii()}
         if sum(w.top for w in words.values()) < 4.0 and not any(w.chain for w in words.values()):
-            return s, []  # no chain can reach the least margin
+            return s, [], any(w.top > DOUBT for w in words.values())  # no chain can reach the least margin
         total, chain = self._shared_chain(list(words.values()))
         found = []
         for i, w in words.items():
@@ -466,7 +527,7 @@ class Repairer:
             elif w.chain:
                 parts[i] = w.fixed
                 found.append(w.chain)
-        return "".join(parts), found
+        return "".join(parts), found, True
 
     def _by(self, chain: tuple[str, str] | None, word: str) -> tuple[float, str]:
         r = restore(word, chain) if chain else None
