@@ -33,7 +33,7 @@ _NAMES = {
 _WORDS = """list_sort(list_distinct(list_filter(list_transform(string_split(lower(regexp_replace(replace(replace(regexp_replace(k, '([a-z])([A-Z])', '\\1_\\2', 'g'), '-', '_'), '.', '_'), '_(m)$', '')), '_'),
      lambda x: case x when 'anc' then 'ancillary' when 'surf' then 'surface' when 'int' then 'internal' when 'correction' then 'cor' else x end), lambda x: x not in ('ancillary', 'm'))))"""
 # Every value of every whole record with its number, the metres in its own unit, and the scale of its file.
-_VALUES = f"""recs as (select granule, run_id, record_id, cast(any_value(payload) as json) j from raw_records where json_valid(payload) and json_type(payload) = 'OBJECT' group by 1, 2, 3),
+_VALUES = rf"""recs as (select granule, run_id, record_id, cast(any_value(payload) as json) j from raw_records where json_valid(payload) and json_type(payload) = 'OBJECT' group by 1, 2, 3),
 kv as (select record_id, granule, run_id, k, json_extract(j, '$."' || k || '"') x from (select *, unnest(json_keys(j)) k from recs)),
 tx as (select record_id, granule, run_id, case array_to_string({_WORDS}, '_') {' '.join(f"when '{a}' then '{b}'" for a, b in _NAMES.items())} end v, json_type(x) = 'OBJECT' o,
   case json_type(x) when 'OBJECT' then json_extract_string(x, '$.value') when 'ARRAY' then json_extract_string(x, '$[0]') else json_extract_string(x, '$') end t, case when json_type(x) = 'OBJECT' then json_extract_string(x, '$.units') end u from kv),
