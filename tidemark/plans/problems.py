@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.operators import schema_drift, spatial, spike_hmm
 from tidemark.plans.common import hav_sql
@@ -14,10 +15,18 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _all_variables(table: DataFrame) -> DataFrame:
+    """The table with every variable of the product, null where no file has it, so that its schema does not
+    hang on which files are there."""
+    kinds = {v: "bigint" if v in _WHOLE else "string" if v == "time" else "double" for v in _NAMES.values()}
+    product = [(F.col(v) if v in table.columns else F.lit(None)).cast(k).alias(v) for v, k in kinds.items()]
+    return table.select("record_id", "granule", "run_id", *product, *[c for c in table.columns if c not in kinds and c not in ("record_id", "granule", "run_id")])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": lambda s, d: schema_drift.drift_log(_t(s, d, "raw_records"), _t(s, d, "granule_manifest")),
-        "p1_union_table": lambda s, d: schema_drift.to_union_table(_t(s, d, "raw_records")),
+        "p1_union_table": lambda s, d: _all_variables(schema_drift.to_union_table(_t(s, d, "raw_records"))),
         "p1_rescaled": lambda s, d: schema_drift.rescale_log(_t(s, d, "raw_records"), _t(s, d, "granule_manifest")),
         "p2_found": lambda s, d: spike_hmm.implausible(_t(s, d, "swot_pixels"), _t(s, d, "qual_flags")),
         "p5_found": lambda s, d: spatial.segments_near(_t(s, d, "segment_spectra"), _t(s, d, "reference_sites")),
@@ -32,6 +41,7 @@ _NAMES = {
 }
 _WORDS = """list_sort(list_distinct(list_filter(list_transform(string_split(lower(regexp_replace(replace(replace(regexp_replace(k, '([a-z])([A-Z])', '\\1_\\2', 'g'), '-', '_'), '.', '_'), '_(m)$', '')), '_'),
      lambda x: case x when 'anc' then 'ancillary' when 'surf' then 'surface' when 'int' then 'internal' when 'correction' then 'cor' else x end), lambda x: x not in ('ancillary', 'm'))))"""
+_WHOLE = ("rain_flag", "surface_type", "ssha_karin_2_qual")
 # Every value of every whole record with its number, the metres in its own unit, and the scale of its file.
 _VALUES = rf"""recs as (select granule, run_id, record_id, cast(any_value(payload) as json) j from raw_records where json_valid(payload) and json_type(payload) = 'OBJECT' group by 1, 2, 3),
 kv as (select record_id, granule, run_id, k, json_extract(j, '$."' || k || '"') x from (select *, unnest(json_keys(j)) k from recs)),
@@ -48,7 +58,7 @@ ORACLE = {
 select f[1] run_id, f[2] file_no, v variable, 1 / d factor from sc join files using (granule) where d <> 1
 """,
     "p1_union_table": f"""with {_VALUES}, x as (select record_id, granule, run_id, v, t, n / coalesce(nu.d, sc.d, 1e0) n from nu left join sc using (granule, v))
-select record_id, granule, run_id, max(t) filter (where v = 'time') "time", {', '.join(f"cast(max(n) filter (where v = '{v}') as {'bigint' if v in ('rain_flag', 'surface_type', 'ssha_karin_2_qual') else 'double'}) {v}" for v in _NAMES.values() if v != 'time')} from x group by 1, 2, 3
+select record_id, granule, run_id, max(t) filter (where v = 'time') "time", {', '.join(f"cast(max(n) filter (where v = '{v}') as {'bigint' if v in _WHOLE else 'double'}) {v}" for v in _NAMES.values() if v != 'time')} from x group by 1, 2, 3
 """,
     "p1_found": """
 with files as (select distinct granule, file_no from granule_manifest),
