@@ -288,3 +288,23 @@ def test_reflected_edges_never_matter(spark):
     want = full[5:-5, 5:-5][::3, ::3]
     got = t.fir_decimate_2d(df, ["id"], "r", "c", "v", list(taps), 3).orderBy("r", "c").collect()
     assert np.allclose([r.v for r in got], want.ravel()) and (got[0].r, got[0].c) == (5, 5)
+
+
+def test_anisotropy(spark, small):
+    """Along over across from the two spectra that have SQL of their own."""
+    from tidemark.plans import ref_spectra as q
+
+    along = sp.swath_spectra(q.patch_lines(spark, small), q.PASS, "pixel_no", "line_no", "v", 4.0, overlap=0.5).collect()
+    across = sp.cross_track_spectra(q.patch_lines(spark, small), q.PASS, "pixel_no", "line_no", "v", 0.25, 3, 20).collect()
+    got = {(r.label, r.swath, r.ik): r.ratio for r in q.queries()["anisotropy"](spark, small).collect()}
+    seen = 0
+    for key in {(r.label, r.swath) for r in along}:
+        mine = [r for r in along if (r.label, r.swath) == key]
+        rows = sorted((r.k, r.psd) for r in across if (r.label, r.swath) == key)
+        p, k = np.mean([r.psd for r in mine], axis=0), np.array(mine[0].wavenumber)
+        there = np.interp(k, *zip(*rows), left=np.nan, right=np.nan)
+        for i in range(len(k)):
+            want = p[i] / there[i]
+            assert got[(*key, i)] == (pytest.approx(want, rel=1e-5, abs=2e-6) if np.isfinite(want) else None)
+            seen += np.isfinite(want)
+    assert seen > 50
