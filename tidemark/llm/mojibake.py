@@ -4,14 +4,16 @@ A chain (wrong, right) means: the bytes were written in ``right`` and read as ``
 are fitted on texts that show no trace of damage:
 
 * a multinomial classifier over hashed byte bigrams of records garbled on purpose, one class per
-  chain, which names the chains that may have made a piece of text;
+  chain and one for intact text, whose posterior says which chain made a piece of text;
 * counts of neighbouring characters of the undamaged texts, which say how usual a spelling is.
 
-For every word that holds characters beyond ASCII all chains are inverted, the classifier's score
-weighing between them, and the words of a sentence vote on a chain together; an inversion counts only if it is strictly
-decodable all the way and its result is more usual than what stands there by a clear margin.  Inversions are repeated, so doubly garbled
-text comes back too.  Replacement characters and C1 controls are damage that cannot be read as
-anything else; where no chain gives them back the text is reported without a restoration.
+Every word beyond ASCII is put through the inverse of every chain that can have made it and that the
+classifier does not rule out; words whose spelling gains by a clear margin, alone or together with
+their sentence, mark damage. The classifier's likeliest chain is then undone for the whole text or the
+sentence, if that is strictly decodable and its result sane and more usual; else what the words found
+alone stays.  Inversions are repeated, so doubly garbled text comes back too.  Replacement characters
+and C1 controls are damage that cannot be read as anything else; where no chain gives them back the
+text is reported without a restoration.
 
 Physical plan: counting is map-side in numpy with one small shuffle of bucket sums; the models have
 a fixed number of buckets, so what is broadcast does not grow with the data; scoring is one stage
